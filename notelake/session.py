@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,10 +22,24 @@ DEFAULTS = {
 def build(master: str = "local[8]", app: str = "notelake", **conf: str) -> SparkSession:
     """A session for local runs and tests; a cluster passes its own session to the operators."""
     builder = SparkSession.builder.master(master).appName(app)
-    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the executors' Python workers import this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = Path(__file__).parent
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), here.name), "zip", here.parent, here.name)
+        spark.sparkContext.addPyFile(archive)  # served to the executors by the driver
     return spark
 
 
