@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import encode, knn, near_dup, packing
+from . import encode, knn, near_dup, packing, sentences
 from .pairs import PairTable, baskets
 
 llm = Registry()
@@ -97,3 +97,8 @@ def p7_packs(spark, d):
 @llm.query("p7_fill")
 def p7_fill(spark, d):
     return packing.fill_report(_p7(spark, d), CAPACITY)
+
+
+@llm.query("p8_found")
+def p8_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"), "doc_id", "text").distinct()
