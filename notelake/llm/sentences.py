@@ -16,6 +16,7 @@ repeated rows; a piece without a letter, digit or symbol is no sentence; an uncl
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ END_COLON, END_MID, END_CASED, END_OTHER = "", "", "", ""
 #: Characters that may end a sentence, and the placeholders that stand for them while they do not.
 STOPS = ".!?。！？…।؟;；．｡;॥"
 MASKS = "".join(chr(0xE010 + i) for i in range(len(STOPS)))
-DOT = MASKS[0]
+DOT, ASKS = MASKS[0], "\ue030"
 CLOSE = "\\)\\]\\}\"'”’»›」』）】\\*_"
 BLANK = " \\t\\x{A0}\\x{3000}"
 SPACE = "\\s\\x{85}\\p{Z}\\x{FEFF}"
@@ -38,11 +39,19 @@ FRONT = r"\A\x{FEFF}?---[ \t]*\n(?:[\s\S]*?\n)??---[ \t]*(?=\n|\z)"
 FENCE = r"(?m)^[ ]{0,3}(`{3,}|~{3,})[^\n]*(?:\n(?:[\s\S]*?\n)??[ ]{0,3}\1[`~]*[ \t]*(?=\n|\z)|[\s\S]*\z)"
 TAGS = r"(?m)^[ \t\x{FEFF}]*(?:#[^\s#\x{E000}-\x{E00F}]+[ \t]*)+$"
 HEADING = r"(?m)^([ \t\x{FEFF}]{0,4}#{1,6}[ \t]+)([^\n]*?)([ \t]+#+[ \t]*|[ \t]*)$"
-BULLET = r"(?m)^([ \t\x{FEFF}]*(?:[-*+•]|1[.)]|(?:(?<=\n[ \t]{0,8}\n[ \t]{0,8})|(?<=\A[ \t]{0,8})|(?<=\n[ \t]{0,8}\d{1,3}[.)][ \t][^\n]{0,3000}\n[ \t]{0,8}))\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)"
+# an item before, of up to five lines; looked for only at lines that begin with a number
+_ITEM_BEFORE = "|".join(
+    r"(?<=(?:\A|\n|\x{E004})[ \t\x{FEFF}]{0,8}\d{1,3}[.)][ \t]" + r"[^\n]{1,600}\n" * n + r"[ \t]{0,8})" for n in range(1, 6)
+)
+BULLET = (
+    r"(?m)^([ \t\x{FEFF}]*(?:[-*+•]|1[.)]|(?=\d)(?:(?<=\A[ \t\x{FEFF}]{0,8})|(?<=\n[ \t]{0,8}\n[ \t]{0,8})|"
+    + _ITEM_BEFORE
+    + r")\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)"
+)
 RULE = r"(?m)^[ \t]*(?:[-*_=][ \t]*){3,}$"
 
 _IN = r"\x{E000}-\x{E00F}"
-SPANS = "|".join(
+SPANS = r"(?=[`\[(（【hfw])(?:" + "|".join(
     (
         rf"`[^`{_IN}]+`",
         rf"\[\[[^\]{_IN}]*\]\]",
@@ -54,7 +63,7 @@ SPANS = "|".join(
         rf"【[^【】{_IN}]*+】",
         rf"\[[^\[\]{_IN}]*+\]",
     )
-)
+) + ")"
 QUOTE = "|".join(
     (
         rf"“[^“”„{_IN}]*+”",
@@ -64,7 +73,7 @@ QUOTE = "|".join(
         rf"「[^「」{_IN}]*+」",
         rf"『[^『』{_IN}]*+』",
         rf"‘[^‘’{_IN}]*+’(?!\p{{L}})",
-        rf"(?<![\p{{L}}\p{{N}}])\"(?=\S)[^\"{_IN}]*+\"",
+        rf"\"(?<![\p{{L}}\p{{N}}]\")(?=\S)[^\"{_IN}]*+\"",
     )
 )
 
@@ -79,20 +88,29 @@ TITLES = (
 )
 #: Abbreviations of several parts; every full stop in them is masked.
 PARTS = (
-    r"[eE]\.\s?g\.", r"[iI]\.\s?e\.", r"p\.\s?(?:ex|ej)\.", r"[zZ]\.\s?B\.", r"[dD]\.\s?h\.", r"[uU]\.\s?a\.", r"[oO]\.\s?ä\.", r"[uU]\.\s?U\.",
-    r"[iI]\.\s?d\.\s?R\.", r"[sS]\.\s?o\.", r"[vV]\.\s?a\.", r"т\.\s?(?:е|н|к|ч)\.", r"т\.\s?(?=[дп]\.)", r"[дп]\.\s?р\.", r"и\s+др\.(?=\s+\p{Ll})",
-    r"π\.\s?χ\.", r"κ\.\s?ά\.(?=\s+\p{Ll})", r"μ\.\s?Χ\.", r"π\.\s?Χ\.", r"मि\.\s?से\.", r"कि\.\s?मी\.", r"ई\.\s?पू\.", r"[ap]\.\s?m\.(?=\s+[^\p{Lu}\s])",
-    r"ق\.\s?م\.", r"n\.\s?[ºª]", r"(?:\p{Lu}\.){2,}(?=\s|-)", r"(?:U\.\s?S|U\.\s?N)\.(?=\s)",
+    r"[eE]\._g\.", r"[iI]\._e\.", r"p\._(?:ex|ej)\.", r"[zZ]\._B\.", r"[dD]\._h\.", r"[uU]\._a\.", r"[oO]\._ä\.", r"[uU]\._U\.",
+    r"[iI]\._d\._R\.", r"[sS]\._o\.", r"[vV]\._a\.", r"т\._(?:е|н|к|ч)\.", r"т\._(?=[дп](?!\p{L}))", r"[дп]\._р\.", r"др\.(?=\s+\p{Ll})",
+    r"π\._χ\.", r"κ\._ά\.(?=\s+\p{Ll})", r"μ\._Χ\.", r"π\._Χ\.", r"मि\._से\.", r"कि\._मी\.", r"ई\._पू\.", r"[ap]\._m\.(?=\s+[^\p{Lu}\s])",
+    r"ق\._م\.", r"n\._[ºª]", r"(?:\p{Lu}\.){2,}(?=\s|-)", r"(?:U\._S|U\._N)\.(?=\s)",
 )
-_LETTER = r"(?<![\p{L}\p{M}\p{N}])"
+_WORD = r"\p{L}\p{M}\p{N}"
+_LETTER = rf"(?<![{_WORD}])"
+
+
+def _either_form(pattern: str) -> str:
+    """The alternatives of a pattern with composed and with decomposed accents."""
+    forms = [unicodedata.normalize(f, pattern) for f in ("NFC", "NFD")]
+    return "|".join(dict.fromkeys(forms))
+
+
 #: Words after which a number with a full stop is a German ordinal, and month names.
 ORDINAL = (
-    rf"{_LETTER}((?:[Aa]m|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Vv]om|[Zz]um|[Zz]ur|[Ii]m|[Bb]eim|[Ss]eit|[Aa]b|[Bb]is|[Vv]or|[Nn]ach|[Jj]ede[rsn]?|[Uu]nd)"
-    r"\s+\d{1,4})\.(?=\s+\p{Lu})"
+    rf"\.(?=\s+\p{{Lu}})(?<={_LETTER}(?:[Aa]m|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Vv]om|[Zz]um|[Zz]ur|[Ii]m|[Bb]eim|[Ss]eit|[Aa]b|[Bb]is|[Vv]or|[Nn]ach|[Uu]nd)"
+    r"\s{1,3}\d{1,4}\.)"
 )
-MONTH = rf"{_LETTER}(\d{{1,2}})\.(?=\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))"
-YEAR = r"((?<=\d)\s?г)\.(?=\s+[^\p{Lu}\s])"
-INITIAL = rf"{_LETTER}(\p{{Lu}})\.(?=\s)"
+MONTH = rf"\.(?<={_LETTER}\d{{1,2}}\.)(?=\s+(?:Januar|Februar|März|{unicodedata.normalize('NFD', 'März')}|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))"
+YEAR = r"\.(?<=\d\s{0,3}г\.)(?=\s+[^\p{Lu}\s])"
+INITIAL = rf"\.(?=\s)(?<={_LETTER}\p{{Lu}}\.)"
 #: Words that go on with a sentence after a quotation inside it.
 GOES_ON = (
     "and|or|but|then|so|yet|as|if|in|on|at|to|of|by|for|from|with|before|after|because|when|while|which|who|that|he|she|it|they|we|"
@@ -119,7 +137,7 @@ def blocks(text: Column) -> Column:
     t = _void(t, TAGS)
     t = _void(t, RULE)
     # a quote block begins where a line without its mark goes before; then the marks are blanks
-    t = F.regexp_replace(t, r"(?m)^(?![ \t]{0,3}>)([^\n]*\S[^\n]*\n)(?=[ \t]{0,3}>)", f"$1{SEP}{PROSE}")
+    t = F.regexp_replace(t, r"(?m)^(?![ \t]{0,3}>)([ \t]*+[^\s>][^\n]*+\n)(?=[ \t]{0,3}>)", f"$1{SEP}{PROSE}")
     for _ in range(3):
         t = F.regexp_replace(t, rf"(?m)^([ \t\x{{FEFF}}]*|{SEP}{PROSE}[ \t]*)>", "$1 ")
     t = F.regexp_replace(t, HEADING, f"{SEP}{MARK}$1{SEP}{HEAD}$2{SEP}{MARK}$3{SEP}{PROSE}")
@@ -139,12 +157,13 @@ def mask_spans(c: Column) -> Column:
 
 def mask_words(c: Column) -> Column:
     """No terminator in decimals, file names, initials, ordinals and abbreviations."""
-    parts = "|".join(PARTS)
-    cut = F.split(F.regexp_replace(c, rf"{_LETTER}(?:{parts})", f"{CUT}{SPAN}$0{CUT}"), CUT)
+    parts = _either_form("|".join(PARTS).replace("_", r"\s{0,3}"))
+    short = rf"{_LETTER}(?=[\p{{L}}\p{{M}}]{{1,5}}\.)(?:{parts})"
+    cut = F.split(F.regexp_replace(c, short, f"{CUT}{SPAN}$0{CUT}"), CUT)
     c = F.array_join(F.transform(cut, lambda s: F.when(s.startswith(SPAN), F.translate(F.substring(s, 2, 1 << 30), ".", DOT)).otherwise(s)), "")
-    c = F.regexp_replace(c, rf"{_LETTER}({TITLES})\.(?=[\s{DOT}])", f"$1{DOT}")
+    c = F.regexp_replace(c, rf"\.(?=[\s{DOT}])(?<={_LETTER}(?:{_either_form(TITLES)})\.)", DOT)
     for pattern in (ORDINAL, MONTH, YEAR, INITIAL):
-        c = F.regexp_replace(c, pattern, f"$1{DOT}")
+        c = F.regexp_replace(c, pattern, DOT)
     return F.regexp_replace(c, r"\.(?=[\d\p{Ll}\-_/\\@])", DOT)
 
 
@@ -153,7 +172,7 @@ def mask_quotes(c: Column) -> Column:
     before = r"(?<=[\p{L}\p{M}\p{N},，、;)\]`’%" + MASKS + r"]\s{0,2})"
     tagged = F.regexp_replace(
         c,
-        rf"(?<=[:：]\s{{0,2}})({QUOTE})|{before}({QUOTE})|({QUOTE})",
+        rf"(?=[“„«»「『‘\"])(?:(?<=[:：]\s{{0,2}})({QUOTE})|{before}({QUOTE})|({QUOTE}))",
         f"{CUT}{Q_COLON}$1{CUT}{Q_MID}$2{CUT}{Q_START}$3{CUT}",
     )
 
@@ -172,26 +191,28 @@ def mask_quotes(c: Column) -> Column:
     return F.array_join(F.transform(F.split(tagged, CUT), one), "")
 
 
-def split_prose(c: Column) -> Column:
-    """A separator after each sentence of a prose block whose terminators are masked where they end nothing."""
+def split_prose(c: Column, greek: Column) -> Column:
+    """A separator after each sentence of a prose block whose terminators are masked where they end nothing.
+
+    greek: does the block hold Greek letters? There the semicolon is the question mark.
+    """
     new = f"{SEP}{PROSE}"
     closers = f"[{CLOSE}]*"
     rules = [
         (rf"([。！？｡．॥]+[!?！？。]*{closers})(?!\d)", "$1"),
         (rf"(।+{closers})", "$1"),
         (rf"([!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}]+[!?.]*{closers})(?=\s|$|\p{{Lu}}|¿|¡|«|“|„|[\p{{IsHangul}}\p{{IsArabic}}\p{{IsDevanagari}}])", "$1"),
-        (rf"(?<!\.)(\.{closers})(?=\s|$)", "$1"),
-        (r"(?<=[\p{L}\p{M}\p{N}\])”»`\x{E00E}])(?<!\.)(\.)(?=\p{Lu}[\p{L}\p{M}\.]|[¿¡«“„`\[]|\p{IsHangul})", "$1"),
-        (r"(?<=\p{IsArabic}{3})(\.)(?=\p{IsArabic}{2})", "$1"),
+        (rf"(\.(?<!\.\.){closers})(?=\s|$)", "$1"),
+        (r"(\.)(?=\p{Lu}[\p{L}\p{M}\.]|[¿¡«“„`\[]|\p{IsHangul})(?<=[\p{L}\p{M}\p{N}\])”»`]\.)", "$1"),
+        (r"(\.)(?=\p{IsArabic}{2})(?<=\p{IsArabic}{3}\.)", "$1"),
         (rf"(\.\.+{closers}|…+{closers})(?=\s+\p{{Lu}})", "$1"),
-        (r"(?<=\p{IsThai})(\s+)(?=\p{IsThai})", "$1"),
+        (r"([ \n\t\x{A0}]{1,200}+)(?=\p{IsThai})(?<=\p{IsThai}[ \n\t\x{A0}]{1,200})", "$1"),
         (rf"({END_COLON})(?![\s]*[,;，、)]|\s+(?:{GOES_ON})(?![\p{{L}}.]))", "$1"),
         (rf"({END_MID})(?=\s)(?!\s+(?:{GOES_ON})(?![\p{{L}}.])|\s*[,;)])", "$1"),
         (rf"({END_CASED})(?=\s+(?:\p{{Lu}}|[`¿¡«“„\"]))", "$1"),
     ]
     out = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1] + new), rules, c)
-    greek = F.regexp_replace(out, rf"(;{closers})(?=\s|$)", f"$1{new}")
-    return F.when(c.rlike(r"\p{IsGreek}"), greek).otherwise(out)
+    return F.regexp_replace(F.when(greek, F.translate(out, ";", ASKS)).otherwise(out), rf"({ASKS}{closers})(?=\s|$)", f"$1{new}")
 
 
 def pieces(text: Column) -> Column:
@@ -199,7 +220,7 @@ def pieces(text: Column) -> Column:
 
     def one(p: Column) -> Column:
         body = F.when(p.startswith(PROSE), F.substring(p, 2, 1 << 30)).otherwise(p)
-        done = split_prose(mask_quotes(mask_words(mask_spans(body))))
+        done = split_prose(mask_quotes(mask_words(mask_spans(body))), p.rlike(r"\p{IsGreek}"))
         return F.when(p.rlike(f"^[{VOID}{MARK}{HEAD}]"), p).otherwise(F.concat(F.lit(PROSE), done))
 
     cut = F.split(_each(blocks(text), one), SEP)
