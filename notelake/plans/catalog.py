@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .general import general
+from .vault import vault
 from .registry import Query
 
-PARTS = (general,)
+PARTS = (general, vault)
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +20,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general.queries["p1_orphans_by_month"](spark, folder)
+    return vault.queries["search_hybrid"](spark, folder)
