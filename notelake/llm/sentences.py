@@ -36,7 +36,7 @@ BLANK = " \\t\\x{A0}\\x{3000}"
 SPACE = "\\s\\x{85}\\p{Z}\\x{FEFF}"
 
 FRONT = r"\A\x{FEFF}?---[ \t]*\n(?:[\s\S]*?\n)??---[ \t]*(?=\n|\z)"
-FENCE = r"(?m)^[ ]{0,3}(`{3,}|~{3,})[^\n]*(?:\n(?:[\s\S]*?\n)??[ ]{0,3}\1[`~]*[ \t]*(?=\n|\z)|[\s\S]*\z)"
+FENCE = r"(?m)^\x{FEFF}?[ ]{0,3}(`{3,}|~{3,})[^\n]*(?:\n(?:[\s\S]*?\n)??[ ]{0,3}\1[`~]*[ \t]*(?=\n|\z)|[\s\S]*\z)"
 TAGS = r"(?m)^[ \t\x{FEFF}]*(?:#[^\s#\x{E000}-\x{E00F}]+[ \t]*)+$"
 HEADING = r"(?m)^([ \t\x{FEFF}]{0,4}#{1,6}[ \t]+)([^\n]*?)([ \t]+#+[ \t]*|[ \t]*)$"
 # an item before, of up to five lines; looked for only at lines that begin with a number
