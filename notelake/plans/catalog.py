@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .general import general
 from .vault import vault
+from .writing import writing
 from .registry import Query
 
-PARTS = (general, vault)
+PARTS = (general, vault, writing)
 
 
 def queries() -> dict[str, Query]:
