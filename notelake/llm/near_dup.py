@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..operators.graph import components
 from ..session import cut_lineage
 
 ROWS, BANDS = 8, 96
@@ -191,3 +192,19 @@ def similar_pairs(df: DataFrame, key: str, title: str, content: str, at_least: f
         .select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
         .distinct()
     )
+
+
+def groups(df: DataFrame, key: str, title: str, content: str, at_least: float = 0.7) -> DataFrame:
+    """key, class_id, n_links, group_id, group_size of every record that takes part.
+
+    class_id is the smallest key with the same words, n_links the number of similar classes, group_id the smallest
+    class that the record's class is connected with over similar ones.
+    """
+    members, reps = classes(df, key, title, content)
+    members, reps = cut_lineage(members, "members"), cut_lineage(reps, "reps")
+    linked = cut_lineage(similar_classes(reps, at_least), "linked")
+    ends = linked.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    label = components(reps.select(F.col("class_id").alias("id")), linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    each = members.join(label.select(F.col("id").alias("class_id"), F.col("component").alias("group_id")), "class_id").join(ends, "class_id", "left")
+    size = each.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return each.join(size, "group_id").select(F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id", "group_size")

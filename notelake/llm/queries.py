@@ -45,6 +45,11 @@ def p4_found(spark, d):
     return near_dup.similar_pairs(table(spark, d, "pack_rows"), "chunk_id", "title", "content", 0.7).toDF("chunk_a", "chunk_b")
 
 
+@llm.query("p4_groups")
+def p4_groups(spark, d):
+    return near_dup.groups(table(spark, d, "pack_rows"), "chunk_id", "title", "content", 0.7)
+
+
 _P5 = r"""
 WITH t AS (
   SELECT DISTINCT document_id, lower(trim(regexp_replace(trim(tag), '^#+', ''))) AS tag
