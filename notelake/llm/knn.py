@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 #: Bounds of the fit, independent of the data: lists, and sampled vectors in all and per list.
 MAX_LISTS, MAX_SAMPLE, SAMPLE_PER_LIST = 8192, 131_072, 256
 #: A list is also probed if its squared distance is at most so many times that of the nearest one.
-PROBE_WITHIN, MAX_PROBES = 1.3, 3
+PROBE_WITHIN, MAX_PROBES = 1.3, 5
 #: Significance of the test: a partial distance may exceed its expectation by 1 + EPSILON / sqrt(columns seen).
 EPSILON = 2.1
 #: Ends of the column blocks as shares of the width.
