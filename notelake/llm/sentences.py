@@ -203,7 +203,11 @@ def split_prose(c: Column, greek: Column) -> Column:
         (rf"(।+{closers})", "$1"),
         (rf"([!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}]+[!?.]*{closers})(?=\s|$|\p{{Lu}}|¿|¡|«|“|„|[\p{{IsHangul}}\p{{IsArabic}}\p{{IsDevanagari}}])", "$1"),
         (rf"(\.(?<!\.\.){closers})(?=\s|$)", "$1"),
-        (r"(\.)(?=\p{Lu}[\p{L}\p{M}\.]|[¿¡«“„`\[]|\p{IsHangul})(?<=[\p{L}\p{M}\p{N}\])”»`]\.)", "$1"),
+        (
+            r"(\.)(?:(?=\p{Lu}[\p{Ll}\p{M}]|[¿¡«“„`\[]|\p{IsHangul})(?<=[\p{L}\p{M}\p{N}\])”»`]\.)"
+            r"|(?=\p{Lu}[\s.\p{Lu}])(?<=[\p{Ll}\p{Lo}\p{M}\p{N}\])”»`]\.))",
+            "$1",
+        ),
         (r"(\.)(?=\p{IsArabic}{2})(?<=\p{IsArabic}{3}\.)", "$1"),
         (rf"(\.\.+{closers}|…+{closers})(?=\s+\p{{Lu}})", "$1"),
         (r"([ \n\t\x{A0}]{1,200}+)(?=\p{IsThai})(?<=\p{IsThai}[ \n\t\x{A0}]{1,200})", "$1"),

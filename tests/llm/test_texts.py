@@ -77,6 +77,7 @@ def test_fill_puts_classes_by_count():
 
 
 CASES = {
+    "Ao lado do pacote.O Sr. Zé mediu. No painel estável.A equipe foi.Der Tag kam.": ["Ao lado do pacote.", "O Sr. Zé mediu.", "No painel estável.", "A equipe foi.", "Der Tag kam."],
     "One. Two! Three? Really?! End": ["One.", "Two!", "Three?", "Really?!", "End"],
     "Dr. No met Mr. J. Q. Public at 3.45 p.m. today. See Fig. 3, i.e. v1.2.3.\nIt works.": ["Dr. No met Mr. J. Q. Public at 3.45 p.m. today.", "See Fig. 3, i.e. v1.2.3.", "It works."],
     "It was late.The next one? `a.b()` is code. x.md is a file.": ["It was late.", "The next one?", "`a.b()` is code.", "x.md is a file."],
