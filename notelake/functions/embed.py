@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ def features(text: str) -> list[tuple[str, float]]:
     return [(f"t:{w}", 1.0) for w in wide] + [(f"b:{a}:{b}", 0.65) for a, b in zip(wide, wide[1:], strict=False)]
 
 
+@lru_cache(maxsize=200_000)
 def feature_hash(feature: str) -> int:
     """32-bit FNV-1a over code points."""
     h = 2166136261

@@ -47,6 +47,7 @@ def _foldable() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _foldable()
+_TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
 def fold(c: Column) -> Column:
@@ -57,7 +58,9 @@ def fold(c: Column) -> Column:
 
 def fold_text(s: str) -> str:
     """The same fold for a query string on the driver."""
-    s = s.translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    if s.isascii():
+        return s.translate({94: None, 96: None}).lower()
+    s = s.translate(_TABLE)
     return "".join(x for x in s if unicodedata.category(x) != "Mn" and x not in "^`¨¯´·¸").lower()
 
 

@@ -66,6 +66,20 @@ def _p2(spark, d):
     return packed.unpack(table(spark, d, "legacy_notes"), "id", "tags", signs)
 
 
-@general.query("p2_found")
+#: The grammar in a pattern without look-around, enough where quotation marks are closed; signs come from the tables.
+_P2 = r"""
+WITH t AS (SELECT unnest(tags) AS t FROM vault_notes UNION SELECT unnest(tags) FROM hub_notes),
+c AS (SELECT DISTINCT unnest(string_split(regexp_replace(regexp_replace(trim(t), '^#+', ''), '[\p{L}\p{M}\p{N}\s]', '', 'g'), '')) AS c FROM t),
+s AS (SELECT string_agg(chr(92) || c, '' ORDER BY c) AS signs FROM c WHERE c <> ''),
+m AS (SELECT DISTINCT id, regexp_extract_all(tags,
+  '"(?:\\.|""|[^"\\])*"|''(?:\\.|''''|[^''\\])*''|`[^`]*`|“[^”]*”|‘[^’]*’|[\p{L}\p{M}\p{N}' || signs || ']*[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}' || signs || ']*') AS xs FROM legacy_notes, s WHERE tags IS NOT NULL),
+u AS (SELECT id, list_filter(list_transform(xs, lambda x: trim(CASE
+  WHEN x LIKE '"%"' THEN replace(replace(x[2:-2], chr(92) || '"', '"'), '""', '"')
+  WHEN x LIKE '''%''' THEN replace(replace(x[2:-2], chr(92) || '''', ''''), '''''', '''')
+  WHEN regexp_matches(x, '^[`“‘]') THEN x[2:-2] ELSE x END)), lambda x: x <> '') AS xs FROM m)
+SELECT DISTINCT id, unnest(generate_series(1, len(xs)))::INTEGER AS pos, unnest(xs) AS tag FROM u"""
+
+
+@general.query("p2_found", _P2)
 def p2_found(spark, d):
     return _p2(spark, d).select("id", "pos", "tag").distinct()
