@@ -14,17 +14,26 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 
 
-@llm.query("p3_found")
+#: All pairs against all: stated for small tables, where one list makes the search exact.
+_P3 = """
+WITH v AS (SELECT chunk_id, any_value(embedding) AS x FROM index_rows WHERE len(embedding) = 192 AND chunk_id IS NOT NULL GROUP BY 1),
+u AS (SELECT * FROM v WHERE list_max(list_transform(x, lambda e: abs(e))) > 0 AND NOT isnan(list_sum(x)) AND NOT isinf(list_sum(x))),
+s AS (SELECT a.chunk_id AS q, b.chunk_id AS n, round(list_cosine_similarity(a.x, b.x), 9) AS sim FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, n) AS rank FROM s)
+"""
+
+
+@llm.query("p3_found", _P3 + "SELECT DISTINCT least(q, n) AS chunk_a, greatest(q, n) AS chunk_b FROM r WHERE rank <= 10")
 def p3_found(spark, d):
     near = knn.neighbours(table(spark, d, "index_rows"), "chunk_id", "embedding", 192)
     return knn.pairs(near).toDF("chunk_a", "chunk_b")
 
 
-@llm.query("p3_neighbours")
+@llm.query("p3_neighbours", _P3 + "SELECT q AS chunk_id, rank::INTEGER AS rank, n AS neighbour, round(sim, 6) AS similarity FROM r WHERE rank <= 10")
 def p3_neighbours(spark, d):
     near = knn.neighbours(table(spark, d, "index_rows"), "chunk_id", "embedding", 192)
     one = near.select(F.col("key").alias("chunk_id"), F.posexplode("near").alias("rank", "n"))
-    return one.select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"), (-F.col("n.neg")).alias("similarity"))
+    return one.select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"), F.round(-F.col("n.neg"), 6).alias("similarity"))
 
 
 @llm.query(
