@@ -29,11 +29,11 @@ def p3_found(spark, d):
     return knn.pairs(near).toDF("chunk_a", "chunk_b")
 
 
-@llm.query("p3_neighbours", _P3 + "SELECT q AS chunk_id, rank::INTEGER AS rank, n AS neighbour, round(sim, 6) AS similarity FROM r WHERE rank <= 10")
+@llm.query("p3_neighbours", _P3 + "SELECT q AS chunk_id, rank::INTEGER AS rank, n AS neighbour FROM r WHERE rank <= 10")
 def p3_neighbours(spark, d):
     near = knn.neighbours(table(spark, d, "index_rows"), "chunk_id", "embedding", 192)
     one = near.select(F.col("key").alias("chunk_id"), F.posexplode("near").alias("rank", "n"))
-    return one.select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"), F.round(-F.col("n.neg"), 6).alias("similarity"))
+    return one.select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"))
 
 
 @llm.query(
