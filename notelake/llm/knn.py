@@ -210,9 +210,9 @@ def neighbours(df: DataFrame, key: str, vector: str, width: int, k: int = 10, pe
     wanted = min(n_lists * SAMPLE_PER_LIST, MAX_SAMPLE)
     share = min(1.0, wanted / max(1, n_rows))
     picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("vec").cast("array<float>")).limit(2 * MAX_SAMPLE)
-    sample = picked.toArrow().column(0).combine_chunks()
-    unit, _ = _unit(_vectors(sample, width))
-    model = spark.sparkContext.broadcast((turn, *fit((unit @ turn).astype(np.float32), n_lists)))  # at most MAX_LISTS centroids
+    parts = [(_unit(_vectors(b.column(0), width))[0] @ turn).astype(np.float32) for b in picked.toArrow().to_batches(max_chunksize=8192)]
+    sample = np.concatenate([np.zeros((0, width), dtype=np.float32), *parts])
+    model = spark.sparkContext.broadcast((turn, *fit(sample, n_lists)))  # at most MAX_LISTS centroids
 
     hot = rows.groupBy(F.xxhash64("vec").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_COPIES)
     copies = None
