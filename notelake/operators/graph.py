@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, fold_text
 from ..session import shared_dir
 
 
@@ -139,3 +140,45 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = current.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def checks(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """check, ok, n: are there documents, and no broken links?"""
+    return stats(docs, links).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("documents").alias("check"), (F.col("documents") > 0).alias("ok"), F.col("documents").alias("n")),
+                F.struct(F.lit("broken-links").alias("check"), F.col("ok").alias("ok"), F.col("broken_links").alias("n")),
+            )
+        ).alias("c")
+    ).select("c.*")
+
+
+def signature(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """One row that changes whenever a node or an edge does: counts and order-free sums of row hashes."""
+    total = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    n = docs.agg(F.count("*").alias("nodes"), total("id", "agent_id", "title", "path").alias("node_sum"))
+    e = links.agg(F.count("*").alias("edges"), total("from_document_id", F.coalesce("to_document_id", F.lit("")), "to_title", "weight", "priority").alias("edge_sum"))
+    return n.join(e).select("nodes", "edges", F.sha2(F.concat_ws("|", "nodes", "node_sum", "edges", "edge_sum"), 256).alias("signature"))  # one row each
+
+
+def filter_nodes(docs: DataFrame, query: str, limit: int = 1200) -> DataFrame:
+    """id, score: 4 where the folded title, path and tags begin with the folded query, 1 where they hold it."""
+    wanted = fold_text(query).strip()
+    empty = F.array().cast("array<string>")
+    text = fold(F.concat_ws(" ", "title", "path", F.array_join(F.coalesce("tags", empty), " ")))
+    score = F.when(text.startswith(wanted), 4).when(text.contains(wanted), 1).otherwise(0)
+    found = docs.select("id", score.alias("score")).where("score > 0")
+    return (found if wanted else found.limit(0)).orderBy(F.desc("score"), "id").limit(max(1, limit))
+
+
+def storage(notes: DataFrame) -> DataFrame:
+    """One row: files, bytes, mean bytes (rounded), first and last change."""
+    size = F.octet_length(F.coalesce("content", F.lit("")))
+    return notes.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"),
+        F.coalesce(F.round(F.avg(size)), F.lit(0)).cast("bigint").alias("mean_bytes"),
+        F.min("updated_at").cast("string").alias("first_change"),
+        F.max("updated_at").cast("string").alias("last_change"),
+    )

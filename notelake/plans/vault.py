@@ -321,3 +321,38 @@ def q_migration(spark, d):
     notes = table(spark, d, "vault_notes")
     there = notes.where("agent_id <> 'shared'").withColumn("content", F.when(F.col("agent_id") == "lint-scout", F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return snapshots.migration_plan(notes, there)
+
+
+@vault.query("vault_checks", _V + _STATS + "SELECT 'documents' AS \"check\", documents > 0 AS ok, documents AS n FROM s UNION ALL SELECT 'broken-links', links = resolved_links, links - resolved_links FROM s")
+def q_checks(spark, d):
+    return graph.checks(*_both(spark, d))
+
+
+@vault.query("graph_signature")
+def q_signature(spark, d):
+    return graph.signature(*_both(spark, d))
+
+
+@vault.query(
+    "filter_nodes",
+    _V + """, t AS (SELECT id, lower(strip_accents(concat_ws(' ', title, path, array_to_string(tags, ' ')))) AS x FROM d)
+SELECT id, CASE WHEN starts_with(x, 'backlink') THEN 4 ELSE 1 END AS score FROM t WHERE contains(x, 'backlink')""",
+)
+def q_filter_nodes(spark, d):
+    return graph.filter_nodes(_docs(spark, d), "Backlink", 100_000)
+
+
+@vault.query(
+    "storage_stats",
+    "SELECT count(*) AS files, sum(strlen(coalesce(content, '')))::BIGINT AS bytes, round(avg(strlen(coalesce(content, ''))))::BIGINT AS mean_bytes, strftime(min(updated_at), '%Y-%m-%d %H:%M:%S.%f') AS first_change, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S.%f') AS last_change FROM vault_notes",
+)
+def q_storage(spark, d):
+    return graph.storage(table(spark, d, "vault_notes"))
+
+
+@vault.query("group_labels", _V + """, p AS (SELECT id, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM d)
+SELECT id, coalesce(CASE WHEN s[1] = 'agents' THEN s[3] ELSE s[1] END, 'root') AS label FROM p""")
+def q_labels(spark, d):
+    from ..operators.layout import group_label
+
+    return _docs(spark, d).select("id", group_label(F.col("path")).alias("label"))

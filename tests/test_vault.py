@@ -194,3 +194,18 @@ def test_layout(spark):
     rank = layout.rank_within(spark.range(1000).selectExpr("id", "id % 2 AS g"), ["g"], [F.desc("id")])
     assert {(r.g, r["rank"]) for r in rank.collect()} == {(g, i) for g in (0, 1) for i in range(1, 501)}
     assert spark.range(1).select(layout.text_hash(F.lit("hello world"))).first()[0] == 1794106052
+
+
+def test_checks_signature_filter_storage(spark):
+    docs = spark.createDataFrame([("a", "s", "Backlink map", "a.md", ["x"]), ("b", "s", "B", "backlink/b.md", None), ("c", "s", None, "c.md", [])], "id string, agent_id string, title string, path string, tags array<string>")
+    links = spark.createDataFrame([("a", "B", "b", 1, "normal"), ("b", "No", None, 1, "low")], "from_document_id string, to_title string, to_document_id string, weight int, priority string")
+    assert {(r["check"], r.ok, r.n) for r in graph.checks(docs, links).collect()} == {("documents", True, 3), ("broken-links", False, 1)}
+    one = graph.signature(docs, links).first().signature
+    assert one == graph.signature(docs.orderBy(F.desc("id")), links).first().signature
+    assert one != graph.signature(docs, links.limit(1)).first().signature
+    assert [(r.id, r.score) for r in graph.filter_nodes(docs, " BÁCKLINK ").collect()] == [("a", 4), ("b", 1)]
+    assert graph.filter_nodes(docs, "  ").count() == 0
+    notes_ = spark.createDataFrame([("ab", "2025-01-01"), (None, "2025-01-03")], "content string, updated_at string")
+    s = graph.storage(notes_).first()
+    assert (s.files, s.bytes, s.mean_bytes, s.first_change, s.last_change) == (2, 2, 1, "2025-01-01", "2025-01-03")
+    assert graph.storage(notes_.limit(0)).first().bytes == 0
