@@ -202,7 +202,8 @@ NEAR = "key string, near array<struct<neg: double, key: string>>"
 def neighbours(df: DataFrame, key: str, vector: str, width: int, k: int = 10, per_list: int = 1024) -> DataFrame:
     """key, near: the k most similar others of each usable vector, array<struct<neg, key>> with neg = -similarity."""
     spark = df.sparkSession
-    rows = df.where(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vec"))
+    usable = F.forall(vector, lambda x: F.abs(x) < float("inf")) & F.exists(vector, lambda x: x != 0)  # NaN sorts above infinity
+    rows = df.where(F.col(key).isNotNull() & (F.size(vector) == width) & usable).select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vec"))
     n_rows = df.count()  # from the files' metadata
     n_lists = int(np.clip(-(-n_rows // per_list), 1, MAX_LISTS))
     turn = rotation(width)

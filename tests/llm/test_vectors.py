@@ -55,6 +55,14 @@ def test_hot_copies_are_exact(spark, monkeypatch):
     assert near(spark.createDataFrame(rows, DDL)) == truth(rows, 10)
 
 
+def test_many_unusable_copies_take_no_part(spark, monkeypatch):
+    monkeypatch.setattr(knn, "HOT_COPIES", 30)
+    rows = rows_of(150, 2)
+    bad = ([0.0] * 24, [-0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23)
+    rows += [(f"bad{j}{i:03}", v, "a", 1.0) for j, v in enumerate(bad) for i in range(60)]
+    assert near(spark.createDataFrame(rows, DDL)) == truth(rows[:150], 10)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, n):
     rows = rows_of(n)
