@@ -136,11 +136,16 @@ def near_pairs(points: DataFrame, distance: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).where("a <> b").select("a", "b", d.alias("distance"), (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")).where(F.col("distance") < distance)
 
 
-def relax(nodes: DataFrame, rounds: int = 6, distance: float = MIN_DISTANCE) -> DataFrame:
+def rounds_for(n: int) -> int:
+    """Rounds of relaxation of n notes."""
+    return 12 if n > 1000 else 20 if n > 500 else 26
+
+
+def relax(nodes: DataFrame, rounds: int | None = None, distance: float = MIN_DISTANCE) -> DataFrame:
     """nodes moved apart: in each round every pair that is too near pushes both ends by half of what is missing."""
-    out = nodes
-    for _ in range(rounds):
-        out = cut_lineage(out, "relaxed")
+    out = cut_lineage(nodes, "relaxed")
+    for i in range(rounds_for(out.count()) if rounds is None else rounds):
+        out = cut_lineage(out, "relaxed") if i else out
         near = near_pairs(out, distance)
         far = F.greatest("distance", F.lit(0.001))
         push = (distance - far) / 2
@@ -149,6 +154,13 @@ def relax(nodes: DataFrame, rounds: int = 6, distance: float = MIN_DISTANCE) ->
     return out
 
 
+def centred(nodes: DataFrame) -> DataFrame:
+    """nodes(id, title, degree, x, y) with the primary hub at 0, 0; as they are if there is none."""
+    hub = primary_hub(nodes).select(F.col("x").alias("hub_x"), F.col("y").alias("hub_y"))
+    both = nodes.join(hub, F.lit(True), "left")  # at most one row
+    return both.withColumn("x", F.col("x") - F.coalesce("hub_x", F.lit(0.0))).withColumn("y", F.col("y") - F.coalesce("hub_y", F.lit(0.0))).drop("hub_x", "hub_y")
+
+
 def edge_budget(links: DataFrame, limit: int) -> DataFrame:
     """Resolved links within a budget: the heaviest of each endpoint first, then the heaviest of all."""
     e = links.where("to_document_id IS NOT NULL AND to_document_id <> ''").select("from_document_id", "to_document_id", "to_title", "weight", "priority")

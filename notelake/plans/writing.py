@@ -129,7 +129,7 @@ def q_layout(spark, d):
     docs, links, nodes = _nodes(spark, d)
     edges = cut_lineage(graph.edges_between(docs, links), "edges")
     seg = layout.segments(nodes, edges, cut_lineage(graph.components(docs, edges), "labels"))
-    placed = layout.relax(layout.place(nodes.join(seg, "id")), 3)
+    placed = layout.centred(cut_lineage(layout.relax(layout.place(nodes.join(seg, "id"))), "apart"))
     return placed.select("id", "group", "segment", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 

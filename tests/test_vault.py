@@ -196,6 +196,25 @@ def test_layout(spark):
     assert spark.range(1).select(layout.text_hash(F.lit("hello world"))).first()[0] == 1794106052
 
 
+def test_layout_rounds_and_centre(spark, monkeypatch):
+    assert [layout.rounds_for(n) for n in (2, 500, 501, 1000, 1001)] == [26, 26, 20, 20, 12]
+    rows = [(f"n{i:02}", "Memory Hub" if i == 7 else f"Note {i}", f"n{i}.md", i % 5, 60.0 * (i % 6) + i, 60.0 * (i // 6)) for i in range(30)]
+    points = spark.createDataFrame(rows, "id string, title string, path string, degree int, x double, y double")
+    apart = layout.relax(points).select("id", "title", "degree", "x", "y").cache()
+    got, raw = ({r.id: (r.x, r.y) for r in df.collect()} for df in (layout.centred(apart), apart))
+    assert got["n07"] == (0.0, 0.0) and all(abs(raw[i][0] - raw["n07"][0] - got[i][0]) < 1e-9 for i in got)
+    assert layout.near_pairs(apart, 120.0).count() < layout.near_pairs(layout.relax(points, 3), 120.0).count()
+    plain = apart.where("id <> 'n07'")
+    assert sorted(layout.centred(plain).collect()) == sorted(plain.collect())
+    from notelake.plans import writing
+
+    asked = []
+    monkeypatch.setattr(layout, "relax", lambda p, rounds=None: asked.append(rounds) or p)
+    monkeypatch.setattr(layout, "primary_hub", lambda n: n.orderBy("id").limit(1))
+    first = writing.q_layout(spark, "/root/testdata/sf0.001").orderBy("id").first()
+    assert asked == [None] and (first.x, first.y) == (0.0, 0.0)
+
+
 def test_checks_signature_filter_storage(spark):
     docs = spark.createDataFrame([("a", "s", "Backlink map", "a.md", ["x"]), ("b", "s", "B", "backlink/b.md", None), ("c", "s", None, "c.md", [])], "id string, agent_id string, title string, path string, tags array<string>")
     links = spark.createDataFrame([("a", "B", "b", 1, "normal"), ("b", "No", None, 1, "low")], "from_document_id string, to_title string, to_document_id string, weight int, priority string")
