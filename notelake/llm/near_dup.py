@@ -37,7 +37,8 @@ ROWS, BANDS = 8, 96
 SKETCH_BITS = 128
 #: Height of the rank levels in which darts are thrown.
 STEP = 16.0
-#: Classes of exact copies up to this size come out as all pairs, larger ones as pairs with their smallest key.
+#: Classes of exact copies up to this size come out as all pairs; of larger ones only the smallest key is paired, with its
+#: copies and with similar records of other classes.
 ALL_PAIRS_UP_TO = 50
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
