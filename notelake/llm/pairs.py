@@ -86,10 +86,15 @@ class PairTable:
         self._swap(name, merged, keys, touched)
 
     def _swap(self, name: str, df: DataFrame, keys: list[str], touched: list[int]) -> None:
-        """Replace the touched buckets; a bucket that lost all its rows keeps an empty file."""
+        """Replace the touched buckets; a bucket that lost all its rows is removed."""
         stage = shared_dir(self.spark, f"{name}-merged")
         df.write.parquet(stage)
-        self._put(name, self.spark.read.schema(df.schema).parquet(stage), keys)
+        df = self.spark.read.schema(df.schema).parquet(stage)
+        filled = {r[0] for r in df.select("bucket").distinct().collect()}  # at most n_buckets numbers
+        self._put(name, df, keys)
+        for bucket in set(touched) - filled:  # a dynamic overwrite leaves a bucket without new rows as it was
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={bucket}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def _put(self, name: str, df: DataFrame, keys: list[str]) -> None:
         df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
@@ -117,9 +122,9 @@ class PairTable:
             self._put("baskets", now, ["basket"])
         else:
             gone = delta_rows.where("n < 0").select("basket")
-            touched = delta_rows.select(self._bucket("basket").alias("bucket")).distinct()
-            kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(gone, "basket", "left_anti")  # at most n_buckets numbers
-            self._swap("baskets", kept.select("basket", "items", "bucket").unionByName(now), ["basket"], [])
+            touched = [r[0] for r in delta_rows.select(self._bucket("basket")).distinct().collect()]  # at most n_buckets numbers
+            kept = old.where(F.col("bucket").isin(touched)).join(gone, "basket", "left_anti")
+            self._swap("baskets", kept.select("basket", "items", "bucket").unionByName(now), ["basket"], touched)
         return self.pair_counts().where("n <> 0").select("item_a", "item_b", "n")
 
     def scores(self, min_count: int = 1, min_share: float = 0.0) -> DataFrame:

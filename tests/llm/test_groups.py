@@ -100,6 +100,14 @@ def test_pair_table_follows_changes(spark):
     assert abs(row.lift - row.n_ab * row.n / (row.n_a * row.n_b)) < 1e-12
 
 
+def test_pair_table_forgets_emptied_buckets(spark):
+    ddl = "doc string, tags array<string>"
+    t = PairTable.new(spark, 1)
+    for tags in (["a", "b"], [], []):
+        t.apply(baskets(spark.createDataFrame([("d1", tags)], ddl), "doc", "tags"))
+    assert t.stored_baskets().count() == 0 and t.n_baskets() == 0 and t.pair_counts().where("n <> 0").count() == 0
+
+
 def test_pair_table_of_nothing(spark):
     t = PairTable.new(spark, 2)
     t.apply(baskets(spark.createDataFrame([], "doc string, tags array<string>"), "doc", "tags"))
