@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import FOLD_FROM, FOLD_TO, slug, strip, utf16_length
+from ..session import cut_lineage
 from .documents import FENCED, WIKI, tags_of
+from .layout import rank_within
 
 _A, _Z = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Labels of secrets and the patterns that find them.
@@ -91,11 +92,39 @@ def legacy_tags(tags: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: t.rlike("^[a-z0-9][a-z0-9_-]*$")))
 
 
+def unique_paths(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """row, path of rows(row, id, base): base.md, base-2.md and so on, each path once and none that is taken.
+
+    The rows of a base get its free numbers by id. A path that two bases come to (foo-2 of foo, and foo-2 itself) goes to
+    the smallest id; the others try again, in rounds.
+    """
+    number = F.when(F.col("rank") > 1, F.concat(F.lit("-"), F.col("rank").cast("string"))).otherwise(F.lit(""))
+    used, todo, done = None if taken is None else taken.select("path").distinct(), rows, None
+    while True:
+        ranked = rank_within(todo.select("row", "id", "base"), ["base"], [F.asc("id"), F.asc("row")], "v").withColumn("kind", F.lit(0))
+        if used is not None:  # the r-th free number is r and the taken ones before it: the place among both
+            whole = used.select(F.regexp_extract("path", r"(?s)^(.*)\.md$", 1).alias("base"), F.lit(1).cast("bigint").alias("t"))
+            cut = used.select(F.regexp_extract("path", r"(?s)^(.*)-[1-9][0-9]{0,17}\.md$", 1).alias("base"), F.regexp_extract("path", r"-([1-9][0-9]{0,17})\.md$", 1).alias("t"))
+            known = whole.unionByName(cut.where("base <> '' AND t <> '1'").withColumn("t", F.col("t").cast("bigint"))).join(todo.select("base").distinct(), "base", "left_semi")
+            before = rank_within(known, ["base"], [F.asc("t")], "j")
+            ranked = ranked.unionByName(before.select("base", (F.col("t") - F.col("j")).alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("row")), allowMissingColumns=True)
+            ranked = rank_within(ranked.withColumnRenamed("v", "w"), ["base"], [F.asc("w"), F.asc("kind")])
+        else:
+            ranked = ranked.withColumnRenamed("v", "rank")
+        named = cut_lineage(ranked.where("kind = 0").select("row", "id", "base", F.concat("base", number, F.lit(".md")).alias("path")), "named")
+        won = named.groupBy("path").agg(F.min(F.struct("id", "row")).alias("m")).select("path", "m.row")
+        won = cut_lineage(won, "settled")
+        done = won if done is None else done.unionByName(won)
+        todo = cut_lineage(named.join(won.select("row"), "row", "left_anti"), "clashing")
+        if todo.isEmpty():
+            return done
+        used = won.select("path") if used is None else used.unionByName(won.select("path"))
+
+
 def import_legacy(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """row_id, agent_id, title, path, content of the notes that legacy rows (id, title, content, agent, tags, path) become.
 
-    taken: paths that exist already (column path). A suffix is the row's rank among equal slugs of its agent, moved past
-    the taken paths of that slug.
+    taken: paths that exist already (column path). See unique_paths.
     """
     content, path = strip(F.coalesce("content", F.lit(""))), strip(F.coalesce("path", F.lit("")))
     name = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
@@ -106,10 +135,7 @@ def import_legacy(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     missing = F.filter("tags", lambda t: ~F.array_contains(F.transform(tags_of(F.col("body")), lambda x: F.lower(x)), t))
     tag_line = F.when(F.size(missing) > 0, F.concat(F.lit("\n\nTags: "), F.array_join(F.transform(missing, lambda t: F.concat(F.lit("#"), t)), " "))).otherwise(F.lit(""))
     text = base.withColumn("text", connected(F.col("title"), F.concat("body", tag_line)))
-    ranked = text.withColumn("rank", F.row_number().over(Window.partitionBy("agent_id", "slug").orderBy("id")))
-    if taken is not None:
-        stem = F.regexp_extract("path", r"^(.*?)(?:-(\d+))?\.md$", 1)
-        used = taken.select(stem.alias("stem")).groupBy("stem").agg(F.count("*").alias("used"))
-        ranked = ranked.join(used, F.concat("folder", "slug") == F.col("stem"), "left").withColumn("rank", F.col("rank") + F.coalesce("used", F.lit(0)))
-    file = F.concat("folder", "slug", F.when(F.col("rank") > 1, F.concat(F.lit("-"), F.col("rank").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    return ranked.select(F.col("id").alias("row_id"), "agent_id", "title", file.alias("path"), build_text(F.col("title"), F.col("text"), F.col("agent_id")).alias("content"))
+    text = cut_lineage(text.withColumn("base", F.concat("folder", "slug")).withColumn("row", F.monotonically_increasing_id()), "imported")
+    paths = unique_paths(text.select("row", "id", "base"), taken)
+    ranked = text.join(paths, "row")
+    return ranked.select(F.col("id").alias("row_id"), "agent_id", "title", "path", build_text(F.col("title"), F.col("text"), F.col("agent_id")).alias("content"))

@@ -215,6 +215,14 @@ def test_layout_rounds_and_centre(spark, monkeypatch):
     assert asked == [None] and (first.x, first.y) == (0.0, 0.0)
 
 
+def test_legacy_paths_are_unique(spark):
+    titles = ["Release 2024", "foo", "foo", "Bar", "bar", "Bar 2", "baz", "baz"]
+    rows = spark.createDataFrame([(i, t, "text", "a", None, None) for i, t in enumerate(titles)], "id int, title string, content string, agent string, tags string, path string")
+    taken = spark.createDataFrame([(f"agents/a/{x}.md",) for x in ("release-2024", "foo-3", "baz", "baz-2", "baz-4")], "path string")
+    got = {r.row_id: r.path.removeprefix("agents/a/").removesuffix(".md") for r in notes.import_legacy(rows, taken).collect()}
+    assert got == {0: "release-2024-2", 1: "foo", 2: "foo-2", 3: "bar", 4: "bar-2", 5: "bar-2-2", 6: "baz-3", 7: "baz-5"}
+
+
 def test_checks_signature_filter_storage(spark):
     docs = spark.createDataFrame([("a", "s", "Backlink map", "a.md", ["x"]), ("b", "s", "B", "backlink/b.md", None), ("c", "s", None, "c.md", [])], "id string, agent_id string, title string, path string, tags array<string>")
     links = spark.createDataFrame([("a", "B", "b", 1, "normal"), ("b", "No", None, 1, "low")], "from_document_id string, to_title string, to_document_id string, weight int, priority string")
