@@ -48,19 +48,60 @@ def test_many_lists_reach_nine_tenths(spark):
     assert np.mean([len(set(got[k]) & set(want[k])) / 10 for k in want]) >= 0.9
 
 
-def test_hot_copies_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(knn, "HOT_COPIES", 30)
+def copies(rows, kind, n):
+    """n rows that are copies of a vector in one way or another, under keys before, among and after the others."""
+    rng = np.random.default_rng(5)
+    base = np.asarray(rows[0][1])
+    vec = {
+        "equal": lambda i: base,
+        "scaled": lambda i: base * (1 + i % 7) / 3,
+        "near": lambda i: base * (1 + 1e-12 * rng.standard_normal(24)),
+    }[kind]
+    return [(f"{'ahz'[i % 3]}{i:05}", [float(x) for x in vec(i)], "a", 1.0) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("kind", ["equal", "scaled", "near"])
+def test_many_copies_are_exact(spark, monkeypatch, kind, hot):
+    monkeypatch.setattr(knn, "HOT_LISTS", hot / 1000)
     rows = rows_of(150, 2)
-    rows += [(f"hot{i:03}", rows[0][1], "a", 1.0) for i in range(100)]
-    assert near(spark.createDataFrame(rows, DDL)) == truth(rows, 10)
+    rows += copies(rows, kind, 1100)
+    assert near(spark.createDataFrame(rows, DDL), per_list=4096, epsilon=1e3) == truth(rows, 10)  # one list, nothing abandoned early: exact
 
 
-def test_many_unusable_copies_take_no_part(spark, monkeypatch):
-    monkeypatch.setattr(knn, "HOT_COPIES", 30)
+def test_many_unusable_copies_take_no_part(spark):
     rows = rows_of(150, 2)
     bad = ([0.0] * 24, [-0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23)
-    rows += [(f"bad{j}{i:03}", v, "a", 1.0) for j, v in enumerate(bad) for i in range(60)]
-    assert near(spark.createDataFrame(rows, DDL)) == truth(rows[:150], 10)
+    rows += [(f"bad{j}{i:04}", v, "a", 1.0) for j, v in enumerate(bad) for i in range(1100)]
+    assert near(spark.createDataFrame(rows, DDL), epsilon=1e3) == truth(rows[:150], 10)
+
+
+def test_keys_with_several_vectors_count_once(spark):
+    rows = rows_of(60, 3)
+    df = spark.createDataFrame(rows + [(r[0], [-x for x in r[1]], "b", 2.0) for r in rows[:30]] * 2, DDL)
+    one, two = near(df), near(df.orderBy("neg", "key"))
+    assert one == two and len(one) == 60 and all(len(set(v)) == 10 and key not in v for key, v in one.items())
+
+
+def test_lists_are_divided_and_cut_into_blocks(spark, monkeypatch):
+    rows = rows_of(3000, 1, 40)
+    want = truth(rows, 10)
+    monkeypatch.setattr(knn, "MAX_CENTROIDS", 5)
+    model = knn.fit(np.asarray([r[1] for r in rows], dtype=np.float32) / 9, 20, 3000, 60)
+    assert len(model.subs) == 4 and model.n_lists == 4 * len(model.fine) and model.blocks.max() > 1
+    df = spark.createDataFrame(rows, DDL)
+    recall = lambda got: np.mean([len(set(got[k]) & set(want[k])) / 10 for k in want])
+    whole = near(df, per_list=150)
+    assert whole.keys() == want.keys() and recall(whole) >= 0.9
+    monkeypatch.setattr(knn, "LONG", 0.2)
+    assert near(df, per_list=150) == whole
+
+
+def test_short_results_are_searched_for_again(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_PROBES", 1)
+    rows = rows_of(120, 1, 30)  # about four vectors in a list
+    got = near(spark.createDataFrame(rows, DDL), per_list=4)
+    assert len(got) == 120 and all(len(v) == 10 for v in got.values())
 
 
 @pytest.mark.parametrize("n", [0, 1, 2])
