@@ -1,79 +1,121 @@
 """Filling fixed-capacity containers with items (problem 7).
 
-Method: harmonic packing. With capacity C an item of size s belongs to class j when C/(j+1) < s <= C/j, so j items of class
-j always fit one container; the containers of a class take exactly j items each. Items are spread over independent
-groups by a hash, about ``per_group`` items in each, and every group is packed by its own worker: nothing is collected
-anywhere else. Because plain harmonic filling leaves up to 1/(j+1) of a container unused, the room that is left is
-topped up, before the next class opens containers of its own, with the largest items of the later classes that fit.
+Method: harmonic packing. With capacity C an item of size s belongs to class j = C div s, so j items of class j always fit
+one container, and a class's containers take exactly j of its items each: which container an item goes to follows from
+its rank within its class by a division, so every worker fills its containers by itself. The room that a class's
+containers leave is a smaller container; it is filled by count in the same way: a filler of size t goes into a room r
+exactly r div t times, the fillers coming from the later classes, and what is left of a class after that forms
+containers of its own.
+
+How many containers of each make there are depends on the histogram of sizes alone, at most C numbers whatever the
+number of items, so it is worked out on the driver (``plan``). Items are numbered within their size by a range-partitioned
+rank and find their container by two lookups: no group of items is gathered anywhere, and one size may hold all items.
 An item longer than C is cut into pieces of C and a rest; no other item is cut.
 
 Defined results: items of size 0 or null take no room and come out once with a null container; repeated rows are items of
-their own; an empty table gives an empty result; ties are broken by the item's key and piece.
+their own; an empty table gives an empty result; items of one size are numbered by key and piece, so containers are the
+same at every run up to the order of rows that are equal.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "pack_id bigint, {key} {kind}, piece int, start_token bigint, n_tokens bigint"
+from ..operators.layout import rank_within
+from ..session import cut_lineage
 
 
-def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each item of one group; sizes in descending order, each from 1 to capacity."""
-    pack = np.full(len(sizes), -1, dtype=np.int64)
-    asc = sizes[::-1].tolist()  # ascending sizes of the items not yet placed, and their places
-    at = list(range(len(sizes) - 1, -1, -1))
-    opened = 0
-    while asc:
-        count = capacity // asc[-1]
-        room = capacity
-        for _ in range(count):  # the class's own items, the largest first
-            if not asc or capacity // asc[-1] != count:
-                break
-            room -= asc.pop()
-            pack[at.pop()] = opened
-        while asc and (i := bisect_right(asc, room) - 1) >= 0:  # top up the room that is left
-            room -= asc.pop(i)
-            pack[at.pop(i)] = opened
-        opened += 1
-    return pack
-
-
-def harmonic_packs(items: DataFrame, key: str, size: str, n_items: int, capacity: int = 2048, per_group: int = 20_000) -> DataFrame:
-    """pack_id, key, piece, start_token, n_tokens: one row per item or piece of an item.
-
-    n_items is the number of items (a row count, known from the table's metadata); it sets the number of groups.
+class _Sizes:
+    """How many items of each size are left, with the largest that fits a room."""
+
+    def __init__(self, counts: Mapping[int, int]) -> None:
+        self.left = {s: n for s, n in counts.items() if n > 0}
+        self.order = sorted(self.left)
+
+    def fitting(self, room: int) -> int | None:
+        i = bisect_right(self.order, room)
+        return self.order[i - 1] if i else None
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
+            self.order.pop(bisect_right(self.order, size) - 1)
+
+
+def plan(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """(size, first, per, container): the items of a size from rank ``first`` on go ``per`` at a time to containers from there on.
+
+    counts: the number of items by size, sizes from 1 to capacity. The ranges of a size follow one another without gaps.
     """
-    groups = max(1, -(-n_items // per_group))
-    kind = items.schema[key].dataType.simpleString()
+    sizes, used = _Sizes(counts), dict.fromkeys(counts, 0)
+    slots: list[tuple[int, int, int, int]] = []
+    opened = 0
+
+    def put(size: int, per: int, containers: int, at: int) -> None:
+        slots.append((size, used[size], per, at))
+        used[size] += per * containers
+        sizes.take(size, per * containers)
+
+    while sizes.order:
+        j = capacity // sizes.order[-1]
+        rooms: list[tuple[int, int, int]] = []  # room, first container, containers
+        while sizes.order and capacity // sizes.order[-1] == j:  # the class's containers, j items in each
+            size = sizes.order[-1]
+            if sizes.left[size] >= j:
+                n = sizes.left[size] // j
+                put(size, j, n, opened)
+                room = capacity - j * size
+            else:  # one container across sizes
+                n, room, need = 1, capacity, j
+                while need and sizes.order and capacity // (size := sizes.order[-1]) == j:
+                    some = min(need, sizes.left[size])
+                    put(size, some, 1, opened)
+                    room, need = room - some * size, need - some
+            rooms.append((room, opened, n))
+            opened += n
+        while rooms:  # the rooms of the whole class, one filler size each in a round, the smallest rooms first
+            rooms.sort()
+            later = []
+            for room, at, n in rooms:
+                while n and (size := sizes.fitting(room)) is not None:
+                    per = min(room // size, sizes.left[size])
+                    some = min(n, sizes.left[size] // per)
+                    put(size, per, some, at)
+                    later.append((room - per * size, at, some))
+                    at, n = at + some, n - some
+            rooms = [r for r in later if r[0] > 0]
+    return slots
+
+
+def harmonic_packs(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFrame:
+    """pack_id, key, piece, start_token, n_tokens: one row per item or piece of an item."""
+    spark = items.sparkSession
     s = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
+    last = F.greatest(F.ceil(F.col("_s") / capacity).cast("int") - 1, F.lit(0))
     pieces = (
-        items.select(F.col(key), s.alias("_s"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("_h"))
-        .withColumns({"piece": F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_s") / capacity).cast("int") - 1, F.lit(0))))})
-        .select(
-            key,
-            "piece",
-            (F.col("piece").cast("bigint") * capacity).alias("start_token"),
-            F.least(F.col("_s") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("n_tokens"),
-            F.pmod(F.xxhash64("_h", "piece"), F.lit(groups)).alias("_g"),
-        )
+        items.select(F.col(key).alias("_k"), s.alias("_s"))
+        .select("_k", "_s", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+        .select("_k", "piece", (F.col("piece").cast("bigint") * capacity).alias("start_token"), F.least(F.col("_s") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("n_tokens"))
     )
-
-    def run(group: pa.Table) -> pa.Table:
-        n = group.column("n_tokens").to_numpy()
-        order = np.lexsort((group.column("piece").to_numpy(), np.argsort(np.argsort(group.column(key).to_numpy(zero_copy_only=False))), -n))
-        group = group.take(pa.array(order))
-        n = n[order]
-        packs = fill(n[n > 0], capacity) + group.column("_g")[0].as_py() * (1 << 32)
-        column = pa.array(np.concatenate([packs, np.zeros(int((n <= 0).sum()), dtype=np.int64)]), mask=n <= 0)
-        return pa.table([column, *(group.column(c) for c in (key, "piece", "start_token", "n_tokens"))], names=["pack_id", key, "piece", "start_token", "n_tokens"])
-
-    return pieces.groupBy("_g").applyInArrow(run, SCHEMA.format(key=f"`{key}`", kind=kind))
+    pieces = cut_lineage(pieces.withColumn("_tie", F.monotonically_increasing_id()), "pieces")
+    sized = pieces.where("n_tokens > 0")
+    counts = {r[0]: r[1] for r in sized.groupBy("n_tokens").count().collect()}  # at most `capacity` rows
+    by_size: dict[int, list[tuple[int, int, int]]] = {}
+    for t, first, per, at in plan(counts, capacity):
+        by_size.setdefault(t, []).append((first, per, at))
+    lookup = spark.createDataFrame([(t, *map(list, zip(*xs, strict=True))) for t, xs in by_size.items()], "n_tokens bigint, first array<bigint>, per array<bigint>, at array<bigint>")
+    ranked = rank_within(sized, ["n_tokens"], [F.asc("_k"), F.asc("piece"), F.asc("_tie")]).withColumn("r", F.col("rank") - 1)
+    slot = F.size(F.filter("first", lambda x: x <= F.col("r"))) - 1
+    placed = ranked.join(F.broadcast(lookup), "n_tokens").withColumn("i", slot)  # one row per size
+    pack = F.get("at", F.col("i")) + F.floor((F.col("r") - F.get("first", F.col("i"))) / F.get("per", F.col("i")))
+    columns = [F.col("_k").alias(key), "piece", "start_token", "n_tokens"]
+    none = F.lit(None).cast("bigint").alias("pack_id")
+    return placed.select(pack.cast("bigint").alias("pack_id"), *columns).unionByName(pieces.where("n_tokens <= 0").select(none, *columns))
 
 
 def fill_report(packs: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from ..session import cut_lineage
 from ..sources.tables import table
 from . import encode, knn, near_dup, packing, sentences
 from .pairs import PairTable, baskets
@@ -71,8 +72,14 @@ s AS (SELECT tag_a, tag_b, n_ab, x.n AS n_a, y.n AS n_b, total.n AS n FROM p JOI
 
 
 def _p5_table(spark, d):
+    """All documents; then those of agent shared leave and come back, as when its packs are rebuilt."""
+    rows = table(spark, d, "pack_rows")
+    every = cut_lineage(baskets(rows, "document_id", "tags"), "baskets")
+    own = every.join(rows.where("agent_id = 'shared'").select(F.col("document_id").alias("basket")), "basket", "left_semi")
     pairs = PairTable.new(spark)
-    pairs.apply(baskets(table(spark, d, "pack_rows"), "document_id", "tags"))
+    pairs.apply(every)
+    pairs.apply(own.select("basket", F.array().cast("array<string>").alias("items")))
+    pairs.apply(own)
     return pairs
 
 
@@ -84,12 +91,8 @@ def p5_found(spark, d):
 
 @llm.query("p5_scores", _P5 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift FROM s")
 def p5_scores(spark, d):
-    """Counts and lift of all pairs, after two batches: the first chunks of the documents, then the whole documents."""
-    rows = table(spark, d, "pack_rows")
-    pairs = PairTable.new(spark)
-    pairs.apply(baskets(rows.where("chunk_ordinal = 0"), "document_id", "tags"))
-    pairs.apply(baskets(rows, "document_id", "tags"))
-    return pairs.scores().select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+    scores = _p5_table(spark, d).scores()
+    return scores.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
 @llm.query("p6_ids")
@@ -98,9 +101,8 @@ def p6_ids(spark, d):
 
 
 def _p7(spark, d):
-    documents = table(spark, d, "documents")
-    sizes = encode.token_counts(documents, "doc_id", "text", TOKENIZER)
-    return packing.harmonic_packs(sizes, "doc_id", "n_tokens", documents.count(), CAPACITY)
+    sizes = encode.token_counts(table(spark, d, "documents"), "doc_id", "text", TOKENIZER)
+    return packing.harmonic_packs(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
 @llm.query("p7_packs")

@@ -78,37 +78,70 @@ def counts(rows):
 
 
 def table(t):
-    return Counter({(r.item_a, r.item_b): r.n for r in t.pair_counts().where("n <> 0").collect()}), Counter({r["item"]: r.n for r in t.item_counts().where("n <> 0").collect()}), t.n_baskets()
+    return Counter({(r.item_a, r.item_b): r.n for r in t.pair_counts().collect()}), Counter({r["item"]: r.n for r in t.item_counts().collect()}), t.n_baskets()
+
+
+TAGGED = "doc string, tags array<string>, basket string, n int"
 
 
 def test_pair_table_follows_changes(spark):
     rnd = random.Random(4)
-    ddl = "doc string, tags array<string>, basket string, n int"
     pick = lambda: [rnd.choice(["#A", " b", "c ", "D", None, "", "#", "e", "é"]) for _ in range(rnd.randint(0, 5))]
     first = [(f"d{i % 40}", rnd.choice([pick(), None]), "x", 1) for i in range(90)] + [(None, ["a", "b"], "x", 1)]
-    t = PairTable.new(spark, 4)
-    t.apply(baskets(spark.createDataFrame(first, ddl), "doc", "tags"))
+    t = PairTable.new(spark, n_buckets=4)
+    t.apply(baskets(spark.createDataFrame(first, TAGGED), "doc", "tags"))
     assert table(t) == counts(first)
     second = [(f"d{i}", pick(), "x", 1) for i in range(30, 50)]
-    t.apply(baskets(spark.createDataFrame(second, ddl), "doc", "tags"))
+    t.apply(baskets(spark.createDataFrame(second, TAGGED), "doc", "tags"))
     changed = {r[0] for r in second}
     now = [r for r in first if r[0] not in changed] + second
     assert table(t) == counts(now)
-    t.apply(baskets(spark.createDataFrame(second, ddl), "doc", "tags"))
+    t.apply(baskets(spark.createDataFrame(second, TAGGED), "doc", "tags"))
     assert table(t) == counts(now)
+    again = PairTable.open(spark, t.path)
+    assert table(again) == counts(now) and again.state == t.state
+    pairs, items, n = counts(now)
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in again.scores().collect()}
+    assert got == {(a, b): (c, items[a], items[b], n) for (a, b), c in pairs.items()}
     row = t.scores().orderBy("item_a", "item_b").first()
     assert abs(row.lift - row.n_ab * row.n / (row.n_a * row.n_b)) < 1e-12
 
 
-def test_pair_table_forgets_emptied_buckets(spark):
-    ddl = "doc string, tags array<string>"
-    t = PairTable.new(spark, 1)
-    for tags in (["a", "b"], [], []):
-        t.apply(baskets(spark.createDataFrame([("d1", tags)], ddl), "doc", "tags"))
-    assert t.stored_baskets().count() == 0 and t.n_baskets() == 0 and t.pair_counts().where("n <> 0").count() == 0
+def test_deleted_baskets_stay_deleted(spark):
+    t = PairTable.new(spark, n_buckets=1)
+    one = lambda *tags: baskets(spark.createDataFrame([("d1", list(tags), "x", 1)], TAGGED), "doc", "tags")
+    t.apply(one("x", "y"))
+    before = t.pair_counts()
+    for _ in range(2):
+        t.apply(one())
+        assert t.stored_baskets().count() == 0 and table(t) == (Counter(), Counter(), 0)
+    assert before.count() == 1  # an older version stays readable
+    t.apply(one("x", "y"))
+    assert table(t) == (Counter({("x", "y"): 1}), Counter({"x": 1, "y": 1}), 1)
+
+
+def test_untouched_buckets_and_scores_stay(spark):
+    rows = [(f"d{i:02}", [f"t{i:02}", f"u{i:02}"], "x", 1) for i in range(30)]
+    t = PairTable.new(spark, n_buckets=16)
+    t.apply(baskets(spark.createDataFrame(rows, TAGGED), "doc", "tags"))
+    t.apply(baskets(spark.createDataFrame([("d03", ["t03"], "x", 1)], TAGGED), "doc", "tags"))
+    assert [sum(v == 2 for v in t.state.buckets[name].values()) <= 1 for name in ("baskets", "items", "pairs")] == [True] * 3
+    assert table(t) == counts([r for r in rows if r[0] != "d03"] + [("d03", ["t03"], "x", 1)])
+
+
+def test_buckets_follow_the_baskets(spark):
+    rows = [(f"d{i}", [f"t{i % 7}", f"u{i % 5}"], "x", 1) for i in range(60)]
+    t = PairTable.new(spark, per_bucket=10, n_buckets=1)
+    t.apply(baskets(spark.createDataFrame(rows[:10], TAGGED), "doc", "tags"))
+    assert t.state.n_buckets == 1
+    t.apply(baskets(spark.createDataFrame(rows[10:], TAGGED), "doc", "tags"))
+    assert t.state.n_buckets == 6 and table(t) == counts(rows)
+    fresh = PairTable.new(spark, per_bucket=10, n_buckets=1)
+    fresh.apply(baskets(spark.createDataFrame(rows, TAGGED), "doc", "tags"))
+    assert fresh.state.n_buckets == 6 and table(fresh) == counts(rows)
 
 
 def test_pair_table_of_nothing(spark):
-    t = PairTable.new(spark, 2)
-    t.apply(baskets(spark.createDataFrame([], "doc string, tags array<string>"), "doc", "tags"))
-    assert t.scores().count() == 0 and t.n_baskets() == 0
+    t = PairTable.new(spark)
+    t.apply(baskets(spark.createDataFrame([], TAGGED), "doc", "tags"))
+    assert t.scores().count() == 0 and t.n_baskets() == 0 and PairTable.open(spark, t.path).scores().count() == 0

@@ -58,22 +58,47 @@ def test_packs(spark):
     sizes = [rnd.choice([rnd.randint(1, 60), rnd.randint(1, 400), rnd.randint(1, 2048), rnd.randint(1, 9000)]) for _ in range(3000)] + [0, None, 100, 100, 4096]
     rows = [(i % 2990, s, "p", 7) for i, s in enumerate(sizes)]
     df = spark.createDataFrame(rows, "doc_id int, size int, pack_id string, piece int")
-    got = packing.harmonic_packs(df, "doc_id", "size", len(rows), per_group=1000).toPandas()
+    got = packing.harmonic_packs(df, "doc_id", "size").toPandas()
     assert got.n_tokens.sum() == sum(s or 0 for s in sizes)
     used = got.dropna(subset=["pack_id"]).groupby("pack_id").n_tokens.sum()
-    assert used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.97
+    assert used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.99 and sorted(used.index) == list(range(len(used)))
     assert (got[got.pack_id.isna()].n_tokens == 0).all() and got.pack_id.isna().sum() == 2
     whole = got[(got.n_tokens > 0) & (got.piece == 0)]
     assert len(whole) == sum(1 for s in sizes if s)
     assert (got[got.piece > 0].start_token == got[got.piece > 0].piece * 2048).all()
-    assert packing.harmonic_packs(df.limit(0), "doc_id", "size", 0).count() == 0
+    assert packing.harmonic_packs(df.limit(0), "doc_id", "size").count() == 0
 
 
-def test_fill_puts_classes_by_count():
-    sizes = np.array([1500, 1100, 900, 700, 700, 600, 500, 500, 400, 148])
-    packs = packing.fill(sizes, 2048)
-    assert (np.bincount(packs, weights=sizes) <= 2048).all() and packs.min() == 0
-    assert packing.fill(np.array([], dtype=int), 10).size == 0
+def test_one_size_may_hold_all_items(spark):
+    df = spark.createDataFrame([("k", 500)] * 1001, "first string, rank int")
+    assert sorted(packing.harmonic_packs(df, "first", "rank").toPandas().groupby("pack_id").size()) == [1] + [4] * 250
+
+
+def bins(sizes, capacity):
+    """The sizes in each container of a plan."""
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    slots, out = packing.plan(counts, capacity), {}
+    for s, n in counts.items():
+        mine = [x[1:] for x in slots if x[0] == s]
+        assert mine[0][0] == 0 and mine == sorted(mine)
+        for (first, per, at), end in zip(mine, [*(x[0] for x in mine[1:]), n], strict=True):
+            for r in range(first, end):
+                out.setdefault(at + (r - first) // per, []).append(s)
+    return [sorted(out[i], reverse=True) for i in range(len(out))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_plan_places_each_item_once(sizes):
+    got = bins(sizes, 40)
+    assert sorted(s for b in got for s in b) == sorted(sizes) and all(sum(b) <= 40 for b in got)
+
+
+def test_classes_are_filled_by_count():
+    got = bins([30] * 6 + [19] * 5 + [12] * 9 + [5] * 10, 60)
+    assert got == [[30, 30]] * 3 + [[19, 19, 19], [19, 19, 12, 5, 5], [12] * 5, [12, 12, 12, 5, 5, 5, 5], [5] * 4]
+    # every container of a class gets its first filler before any gets a second; the largest that fits would give 37 10 8
+    assert bins([37, 35, 10, 8], 60) == [[37, 10], [35, 8]]
 
 
 CASES = {
