@@ -8,7 +8,8 @@ count when places are added up.
 
 Steps: line ends and stray private-use characters are neutralized; front matter, fenced code and lines of tags are cut
 out as void blocks; headings, list items, quote blocks and paragraphs become blocks with their markers apart; spans and
-abbreviations are masked; sentences are split; lengths are added up per document with a window.
+abbreviations are masked; sentences are split; lengths are added up inside the row. There is no shuffle. Nothing is looked
+for within a fixed number of characters or lines, and masks are left out where a block holds no sign they are for.
 
 Defined results: null, empty and blank texts give no sentence; a text of any length is processed whole; repeated rows give
 repeated rows; a piece without a letter, digit or symbol is no sentence; an unclosed fence runs to the end of the text.
@@ -17,14 +18,13 @@ repeated rows; a piece without a letter, digit or symbol is no sentence; an uncl
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SEP, VOID, MARK, HEAD, PROSE = "", "", "", "", ""
-CUT, SPAN, Q_COLON, Q_MID, Q_START = "", "", "", "", ""
+CUT, SPAN = "", ""
 #: After a quotation that ends in a terminator: introduced by a colon, amid a sentence, at its start (cased script or not).
 END_COLON, END_MID, END_CASED, END_OTHER = "", "", "", ""
 #: Characters that may end a sentence, and the placeholders that stand for them while they do not.
@@ -33,21 +33,17 @@ MASKS = "".join(chr(0xE010 + i) for i in range(len(STOPS)))
 DOT, ASKS = MASKS[0], "\ue030"
 CLOSE = "\\)\\]\\}\"'”’»›」』）】\\*_"
 BLANK = " \\t\\x{A0}\\x{3000}"
-SPACE = "\\s\\x{85}\\p{Z}\\x{FEFF}"
+#: White space of Unicode and the byte order mark.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 FRONT = r"\A\x{FEFF}?---[ \t]*\n(?:[\s\S]*?\n)??---[ \t]*(?=\n|\z)"
 FENCE = r"(?m)^\x{FEFF}?[ ]{0,3}(`{3,}|~{3,})[^\n]*(?:\n(?:[\s\S]*?\n)??[ ]{0,3}\1[`~]*[ \t]*(?=\n|\z)|[\s\S]*\z)"
 TAGS = r"(?m)^[ \t\x{FEFF}]*(?:#[^\s#\x{E000}-\x{E00F}]+[ \t]*)+$"
 HEADING = r"(?m)^([ \t\x{FEFF}]{0,4}#{1,6}[ \t]+)([^\n]*?)([ \t]+#+[ \t]*|[ \t]*)$"
-# an item before, of up to five lines; looked for only at lines that begin with a number
-_ITEM_BEFORE = "|".join(
-    r"(?<=(?:\A|\n|\x{E004})[ \t\x{FEFF}]{0,8}\d{1,3}[.)][ \t]" + r"[^\n]{1,600}\n" * n + r"[ \t]{0,8})" for n in range(1, 6)
-)
-BULLET = (
-    r"(?m)^([ \t\x{FEFF}]*(?:[-*+•]|1[.)]|(?=\d)(?:(?<=\A[ \t\x{FEFF}]{0,8})|(?<=\n[ \t]{0,8}\n[ \t]{0,8})|"
-    + _ITEM_BEFORE
-    + r")\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)"
-)
+#: A numbered item; only in paragraphs that begin with one, or from an item numbered 1 on.
+ITEM = r"(?m)^([ \t\x{FEFF}]*\d{1,9}[.)][ \t]+(?:\[[ xX]\][ \t]+)?)"
+ITEM_ONE = r"(?s)\A(.*?)(?m:^)(?=[ \t\x{FEFF}]*1[.)][ \t])"
+BULLET = r"(?m)^([ \t\x{FEFF}]*[-*+•][ \t]+(?:\[[ xX]\][ \t]+)?)"
 RULE = r"(?m)^[ \t]*(?:[-*_=][ \t]*){3,}$"
 
 _IN = r"\x{E000}-\x{E00F}"
@@ -105,12 +101,12 @@ def _either_form(pattern: str) -> str:
 
 #: Words after which a number with a full stop is a German ordinal, and month names.
 ORDINAL = (
-    rf"\.(?=\s+\p{{Lu}})(?<={_LETTER}(?:[Aa]m|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Vv]om|[Zz]um|[Zz]ur|[Ii]m|[Bb]eim|[Ss]eit|[Aa]b|[Bb]is|[Vv]or|[Nn]ach|[Uu]nd)"
-    r"\s{1,3}\d{1,4}\.)"
+    rf"{_LETTER}((?:[Aa]m|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Dd]em|[Dd]es|[Vv]om|[Zz]um|[Zz]ur|[Ii]m|[Bb]eim|[Ss]eit|[Aa]b|[Bb]is|[Vv]or|[Nn]ach|[Uu]nd)"
+    r"\s+\d{1,4})\.(?=\s+\p{Lu})"
 )
-MONTH = rf"\.(?<={_LETTER}\d{{1,2}}\.)(?=\s+(?:Januar|Februar|März|{unicodedata.normalize('NFD', 'März')}|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))"
-YEAR = r"\.(?<=\d\s{0,3}г\.)(?=\s+[^\p{Lu}\s])"
-INITIAL = rf"\.(?=\s)(?<={_LETTER}\p{{Lu}}\.)"
+MONTH = rf"(?<={_LETTER}\d{{1,2}}\.)(?=\s+(?:Januar|Februar|März|{unicodedata.normalize('NFD', 'März')}|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))"
+YEAR = r"(\d\s*+г)\.(?=\s+[^\p{Lu}\s])"
+INITIAL = rf"(?=\s)(?<={_LETTER}\p{{Lu}}\.)"
 #: Words that go on with a sentence after a quotation inside it.
 GOES_ON = (
     "and|or|but|then|so|yet|as|if|in|on|at|to|of|by|for|from|with|before|after|because|when|while|which|who|that|he|she|it|they|we|"
@@ -118,77 +114,111 @@ GOES_ON = (
 )
 
 
-def _each(c: Column, f) -> Column:
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _each(c: Column, f: Callable[[Column], Column]) -> Column:
     """f over the parts between separators, joined again."""
     return F.array_join(F.transform(F.split(c, SEP), f), SEP)
 
 
+def _rest(c: Column) -> Column:
+    return F.substring(c, 2, 1 << 30)
+
+
 def _void(c: Column, pattern: str) -> Column:
     """What the pattern matches becomes a void block whose characters are neutral."""
+    blank = lambda p: F.when(p.startswith(VOID), F.concat(F.lit(VOID), F.regexp_replace(_rest(p), r"[\s\S]", "x"))).otherwise(p)
     cut = F.regexp_replace(c, pattern, f"{SEP}{VOID}$0{SEP}{PROSE}")
-    return _each(cut, lambda p: F.when(p.startswith(VOID), F.concat(F.lit(VOID), F.regexp_replace(F.substring(p, 2, 1 << 30), r"[\s\S]", "x"))).otherwise(p))
+    return _let(cut, lambda t: F.when(t.contains(VOID), _each(t, blank)).otherwise(t))
+
+
+def _items(p: Column) -> Column:
+    """A paragraph with its numbered items as blocks."""
+    cut = lambda x: F.regexp_replace(x, ITEM, f"{SEP}{MARK}$1{SEP}{PROSE}")
+    start = F.length(F.regexp_extract(p, ITEM_ONE, 1))
+    later = F.concat(F.substring(p, F.lit(1), start), cut(F.substring(p, start + 1, F.length(p))))
+    return F.when(~p.rlike(ITEM), p).when(p.rlike(rf"\A{PROSE}?[\s\x{{FEFF}}]*+\d{{1,9}}[.)][ \t]"), cut(p)).when(p.rlike(ITEM_ONE), later).otherwise(p)
 
 
 def blocks(text: Column) -> Column:
     """The text with separators before blocks and their markers, each followed by the block's kind."""
+
+    def quotes(t: Column) -> Column:
+        # a quote block begins where a line without its mark goes before; then the marks are blanks
+        t = F.regexp_replace(t, r"(?m)^(?![ \t]{0,3}>)([ \t]*+[^\s>][^\n]*+\n)(?=[ \t]{0,3}>)", f"$1{SEP}{PROSE}")
+        for _ in range(3):
+            t = F.regexp_replace(t, rf"(?m)^([ \t\x{{FEFF}}]*|{SEP}{PROSE}[ \t]*)>", "$1 ")
+        return t
+
     t = F.regexp_replace(text, r"[\x{E000}-\x{E0FF}]", "x")
-    t = F.translate(F.regexp_replace(t, r"\r(?=\n)", " "), "\r", "\n")
-    t = _void(_void(t, FRONT), FENCE)
-    t = _void(t, TAGS)
+    t = _let(t, lambda t: F.when(t.contains("\r"), F.translate(F.regexp_replace(t, r"\r(?=\n)", " "), "\r", "\n")).otherwise(t))
+    t = _let(t, lambda t: F.when(t.startswith("---") | t.startswith("\ufeff---"), _void(t, FRONT)).otherwise(t))
+    t = _let(t, lambda t: F.when(t.contains("```") | t.contains("~~~"), _void(t, FENCE)).otherwise(t))
+    t = _let(t, lambda t: F.when(t.contains("#"), _void(t, TAGS)).otherwise(t))
     t = _void(t, RULE)
-    # a quote block begins where a line without its mark goes before; then the marks are blanks
-    t = F.regexp_replace(t, r"(?m)^(?![ \t]{0,3}>)([ \t]*+[^\s>][^\n]*+\n)(?=[ \t]{0,3}>)", f"$1{SEP}{PROSE}")
-    for _ in range(3):
-        t = F.regexp_replace(t, rf"(?m)^([ \t\x{{FEFF}}]*|{SEP}{PROSE}[ \t]*)>", "$1 ")
-    t = F.regexp_replace(t, HEADING, f"{SEP}{MARK}$1{SEP}{HEAD}$2{SEP}{MARK}$3{SEP}{PROSE}")
-    t = F.regexp_replace(t, BULLET, f"{SEP}{MARK}$1{SEP}{PROSE}")
-    return F.regexp_replace(t, rf"\n[{BLANK}]*(?=\n)", f"$0{SEP}{PROSE}")
+    t = _let(t, lambda t: F.when(t.contains(">"), quotes(t)).otherwise(t))
+    t = _let(t, lambda t: F.when(t.contains("#"), F.regexp_replace(t, HEADING, f"{SEP}{MARK}$1{SEP}{HEAD}$2{SEP}{MARK}$3{SEP}{PROSE}")).otherwise(t))
+    t = _each(F.regexp_replace(t, rf"\n[{BLANK}]*+(?=\n)", f"$0{SEP}{PROSE}"), _items)
+    return F.regexp_replace(t, BULLET, f"{SEP}{MARK}$1{SEP}{PROSE}")
 
 
 def _mask(c: Column) -> Column:
     return F.translate(c, STOPS, MASKS)
 
 
+def _masked(c: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
+    """c with the mask over what the pattern matches."""
+    cut = F.regexp_replace(c, pattern, f"{CUT}{SPAN}$0{CUT}")
+    one = lambda s: F.when(s.startswith(SPAN), mask(_rest(s))).otherwise(s)
+    return _let(cut, lambda t: F.when(t.contains(CUT), F.array_join(F.transform(F.split(t, CUT), one), "")).otherwise(t))
+
+
 def mask_spans(c: Column) -> Column:
     """No terminator in code spans, links, URLs and brackets."""
-    cut = F.split(F.regexp_replace(c, SPANS, f"{CUT}{SPAN}$0{CUT}"), CUT)
-    return F.array_join(F.transform(cut, lambda s: F.when(s.startswith(SPAN), _mask(F.substring(s, 2, 1 << 30))).otherwise(s)), "")
+    return _masked(c, SPANS, _mask)
 
 
 def mask_words(c: Column) -> Column:
     """No terminator in decimals, file names, initials, ordinals and abbreviations."""
-    parts = _either_form("|".join(PARTS).replace("_", r"\s{0,3}"))
+    parts = _either_form("|".join(PARTS).replace("_", r"\s*+"))
     short = rf"{_LETTER}(?=[\p{{L}}\p{{M}}]{{1,5}}\.)(?:{parts})"
-    cut = F.split(F.regexp_replace(c, short, f"{CUT}{SPAN}$0{CUT}"), CUT)
-    c = F.array_join(F.transform(cut, lambda s: F.when(s.startswith(SPAN), F.translate(F.substring(s, 2, 1 << 30), ".", DOT)).otherwise(s)), "")
-    c = F.regexp_replace(c, rf"\.(?=[\s{DOT}])(?<={_LETTER}(?:{_either_form(TITLES)})\.)", DOT)
-    for pattern in (ORDINAL, MONTH, YEAR, INITIAL):
-        c = F.regexp_replace(c, pattern, DOT)
-    return F.regexp_replace(c, r"\.(?=[\d\p{Ll}\-_/\\@])", DOT)
+    c = _masked(c, short, lambda s: F.translate(s, ".", DOT))
+    title = rf"(?=[\s{DOT}])(?<={_LETTER}(?:{_either_form(TITLES)})\.)"
+    c = F.regexp_replace(c, rf"\.(?:(?=[\d\p{{Ll}}\-_/\\@])|{title}|{MONTH}|{INITIAL})", DOT)
+    c = _let(c, lambda t: F.when(t.rlike(r"\d\.\s"), F.regexp_replace(t, ORDINAL, f"$1{DOT}")).otherwise(t))
+    return _let(c, lambda t: F.when(t.contains("г."), F.regexp_replace(t, YEAR, f"$1{DOT}")).otherwise(t))
 
 
 def mask_quotes(c: Column) -> Column:
     """No terminator in quotations; those that end in one are followed by a sign of how they stand."""
-    before = r"(?<=[\p{L}\p{M}\p{N},，、;)\]`’%" + MASKS + r"]\s{0,2})"
-    tagged = F.regexp_replace(
-        c,
-        rf"(?=[“„«»「『‘\"])(?:(?<=[:：]\s{{0,2}})({QUOTE})|{before}({QUOTE})|({QUOTE}))",
-        f"{CUT}{Q_COLON}$1{CUT}{Q_MID}$2{CUT}{Q_START}$3{CUT}",
-    )
+    tagged = F.regexp_replace(c, rf"(?=[“„«»「『‘\"])(?:{QUOTE})", f"{CUT}{SPAN}$0{CUT}")
 
-    def one(s: Column) -> Column:
-        quoted = s.rlike(f"^[{Q_COLON}{Q_MID}{Q_START}]")
-        ends = s.rlike(rf"[{STOPS.replace('.', chr(92) + '.')}][\s\x{{A0}}]*[”“»«」』’\"]$")
-        uncased = s.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")
-        sign = (
-            F.when(~ends, "")
-            .when(s.startswith(Q_COLON), END_COLON)
-            .when(s.startswith(Q_MID), F.when(uncased, F.lit(END_OTHER)).otherwise(F.lit(END_MID)))
-            .otherwise(F.when(uncased, F.lit(END_OTHER)).otherwise(F.lit(END_CASED)))
-        )
-        return F.when(quoted, F.concat(_mask(F.substring(s, 2, 1 << 30)), F.when(F.length(s) > 1, sign).otherwise(F.lit("")))).otherwise(s)
+    def all_(parts: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            ends = s.rlike(rf"[{STOPS.replace('.', chr(92) + '.')}][\s\x{{A0}}]*[”“»«」』’\"]$")
+            uncased = s.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsDevanagari}\p{IsArabic}\p{IsThai}]")
+            earlier = F.concat(F.coalesce(F.right(F.get(parts, i - 2), F.lit(1)), F.lit("")), F.get(parts, i - 1))
+            before = F.right(F.rtrim(earlier, F.lit(" \t\n\x0b\f\r")), F.lit(1))  # the last character that is not white space
+            amid = before.rlike(r"[\p{L}\p{M}\p{N},，、;)\]`’%" + MASKS + "]")
+            sign = (
+                F.when(~ends, F.lit(""))
+                .when(before.isin(":", "："), F.lit(END_COLON))
+                .when(uncased, F.lit(END_OTHER))
+                .when(amid, F.lit(END_MID))
+                .otherwise(F.lit(END_CASED))
+            )
+            return F.when(s.startswith(SPAN), F.concat(_mask(_rest(s)), sign)).otherwise(s)
 
-    return F.array_join(F.transform(F.split(tagged, CUT), one), "")
+        return F.array_join(F.transform(parts, one), "")
+
+    return _let(tagged, lambda t: F.when(t.contains(CUT), _let(F.split(t, CUT), all_)).otherwise(t))
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def split_prose(c: Column, greek: Column) -> Column:
@@ -196,56 +226,75 @@ def split_prose(c: Column, greek: Column) -> Column:
 
     greek: does the block hold Greek letters? There the semicolon is the question mark.
     """
-    new = f"{SEP}{PROSE}"
     closers = f"[{CLOSE}]*"
-    rules = [
-        (rf"([。！？｡．॥]+[!?！？。]*{closers})(?!\d)", "$1"),
-        (rf"(।+{closers})", "$1"),
-        (rf"([!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}]+[!?.]*{closers})(?=\s|$|\p{{Lu}}|¿|¡|«|“|„|[\p{{IsHangul}}\p{{IsArabic}}\p{{IsDevanagari}}])", "$1"),
-        (rf"(\.(?<!\.\.){closers})(?=\s|$)", "$1"),
-        (
-            r"(\.)(?:(?=\p{Lu}[\p{Ll}\p{M}]|[¿¡«“„`\[]|\p{IsHangul})(?<=[\p{L}\p{M}\p{N}\])”»`]\.)"
-            r"|(?=\p{Lu}[\s.\p{Lu}])(?<=[\p{Ll}\p{Lo}\p{M}\p{N}\])”»`]\.))",
-            "$1",
-        ),
-        (r"(\.)(?=\p{IsArabic}{2})(?<=\p{IsArabic}{3}\.)", "$1"),
-        (rf"(\.\.+{closers}|…+{closers})(?=\s+\p{{Lu}})", "$1"),
-        (r"([ \n\t\x{A0}]{1,200}+)(?=\p{IsThai})(?<=\p{IsThai}[ \n\t\x{A0}]{1,200})", "$1"),
-        (rf"({END_COLON})(?![\s]*[,;，、)]|\s+(?:{GOES_ON})(?![\p{{L}}.]))", "$1"),
-        (rf"({END_MID})(?=\s)(?!\s+(?:{GOES_ON})(?![\p{{L}}.])|\s*[,;)])", "$1"),
-        (rf"({END_CASED})(?=\s+(?:\p{{Lu}}|[`¿¡«“„\"]))", "$1"),
-    ]
-    out = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1] + new), rules, c)
-    return F.regexp_replace(F.when(greek, F.translate(out, ";", ASKS)).otherwise(out), rf"({ASKS}{closers})(?=\s|$)", f"$1{new}")
+    no_stop = rf"\s*[,;{ASKS}]"
+    rules = (
+        rf"[。！？｡．॥]+[!?！？。]*{closers}(?!\d)",
+        rf"।+{closers}",
+        rf"[!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}]+[!?.]*{closers}(?=\s|$|\p{{Lu}}|¿|¡|«|“|„|[\p{{IsHangul}}\p{{IsArabic}}\p{{IsDevanagari}}])",
+        rf"\.(?<!\.\.){closers}(?=\s|$)",
+        r"\.(?=\p{Lu}[\p{Ll}\p{M}]|[¿¡«“„`\[]|\p{IsHangul})(?<=[\p{L}\p{M}\p{N}\])”»`]\.)",
+        r"\.(?=\p{Lu}[\s.\p{Lu}])(?<=[\p{Ll}\p{Lo}\p{M}\p{N}\])”»`]\.)",
+        r"\.(?=\p{IsArabic}{2})(?<=\p{IsArabic}{3}\.)",
+        rf"(?:\.\.+|…+){closers}(?=\s+\p{{Lu}})",
+        rf"{END_COLON}(?!{no_stop}|\s*[，、)]|\s+(?:{GOES_ON})(?![\p{{L}}.]))",
+        rf"{END_MID}(?=\s)(?!\s+(?:{GOES_ON})(?![\p{{L}}.])|{no_stop}|\s*\))",
+        rf"{END_CASED}(?=\s+(?:\p{{Lu}}|[`¿¡«“„\"]))",
+        rf"{ASKS}{closers}(?=\s|$)",
+    )
+    marks = rf"[.。！？｡．॥।!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}…{END_COLON}{END_MID}{END_CASED}{ASKS}]"
+    asks = _let(c, lambda c: F.when(greek, F.translate(c, ";", ASKS)).otherwise(c))
+    return F.regexp_replace(asks, rf"(?={marks})(?:{'|'.join(rules)})", f"$0{SEP}{PROSE}")
+
+
+def split_thai(c: Column) -> Column:
+    """A separator after white space between two Thai letters."""
+    blank = r"[ \n\t\x{A0}](?<=\p{IsThai}[ \n\t\x{A0}])[ \n\t\x{A0}]*+(?=\p{IsThai})"
+    return F.regexp_replace(c, blank, f"$0{SEP}{PROSE}")
 
 
 def pieces(text: Column) -> Column:
     """The text cut into pieces, each with its kind in front; private-use signs are taken out again."""
 
+    def prose(c: Column) -> Column:
+        plain = _is_ascii(c)
+        no_quote = plain & ~c.contains('"')
+        masked = mask_words(mask_spans(c))
+        masked = _let(masked, lambda m: F.when(no_quote, m).otherwise(mask_quotes(m)))
+        done = split_prose(masked, ~plain & c.rlike(r"\p{IsGreek}"))
+        return _let(done, lambda d: F.when(~plain & c.rlike(r"\p{IsThai}"), split_thai(d)).otherwise(d))
+
     def one(p: Column) -> Column:
-        body = F.when(p.startswith(PROSE), F.substring(p, 2, 1 << 30)).otherwise(p)
-        done = split_prose(mask_quotes(mask_words(mask_spans(body))), p.rlike(r"\p{IsGreek}"))
-        return F.when(p.rlike(f"^[{VOID}{MARK}{HEAD}]"), p).otherwise(F.concat(F.lit(PROSE), done))
+        body = _let(F.when(p.startswith(PROSE), _rest(p)).otherwise(p), prose)
+        return F.when(p.rlike(f"^[{VOID}{MARK}{HEAD}]"), p).otherwise(F.concat(F.lit(PROSE), body))
 
-    cut = F.split(_each(blocks(text), one), SEP)
-    return F.transform(cut, lambda p: F.translate(p, END_COLON + END_MID + END_CASED + END_OTHER, ""))
+    return F.split(F.translate(_each(blocks(text), one), END_COLON + END_MID + END_CASED + END_OTHER, ""), SEP)
+
+
+def sums_before(n: Column) -> Column:
+    """The sum of the earlier entries of a filled array at each of its entries, in steps of the root of its length."""
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def steps(n: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(n))).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / step).cast("int")), lambda c: add(F.slice(n, c * step + 1, step)))
+        return _let(whole, lambda w: _let(F.transform(w, lambda _, c: add(F.slice(w, F.lit(1), c))), lambda w: F.transform(
+            n, lambda _, i: F.get(w, F.floor(i / step).cast("int")) + add(F.slice(n, i - i % step + 1, i % step)))))
+
+    return _let(n, steps)
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_pos, end_pos of every sentence, in code points counted from 1."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.monotonically_increasing_id().alias("_row"), pieces(F.col(text)).alias("_p"))
-    each = rows.select(key, "_row", F.posexplode("_p").alias("_i", "p")).select(
-        key,
-        "_row",
-        "_i",
-        (F.length("p") - 1).alias("_n"),
-        F.when(
-            F.col("p").rlike(f"^[{HEAD}{PROSE}]") & F.col("p").rlike(r"[\p{L}\p{N}\p{S}]"),
-            F.regexp_replace(F.substring("p", 2, 1 << 30), f"^[{SPACE}]+", ""),
-        ).alias("_t"),
-    )
-    each = each.select(key, "_row", "_i", "_n", F.length("_t").alias("_left"), F.length(F.regexp_replace("_t", f"[{SPACE}]+$", "")).alias("_core"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = each.withColumn("_b", before).where(F.col("_core") > 0)
-    start = F.col("_b") + F.col("_n") - F.col("_left") + 1
-    return placed.select(key, start.cast("bigint").alias("start_pos"), (start + F.col("_core") - 1).cast("bigint").alias("end_pos"))
+
+    def measure(p: Column) -> Column:
+        there = (p.startswith(HEAD) | p.startswith(PROSE)) & p.rlike(r"[\p{L}\p{N}\p{S}]")
+        inside = lambda left: F.when(F.right(left, F.lit(1)).isin(*WHITE), F.length(F.rtrim(left, F.lit(WHITE)))).otherwise(F.length(left))
+        size = _let(F.ltrim(_rest(p), F.lit(WHITE)), lambda left: F.struct(F.length(left).alias("left"), inside(left).alias("core")))
+        return F.struct((F.length(p) - 1).cast("bigint").alias("n"), F.when(there, size).alias("s"))
+
+    cut = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.transform(pieces(F.col(text)), measure).alias("_m"))
+    before = sums_before(F.transform("_m", lambda m: m["n"]))
+    placed = cut.select("_k", F.explode(F.arrays_zip(F.col("_m").alias("m"), before.alias("b"))).alias("_s")).where("_s.m.s.core > 0")
+    start = F.col("_s.b") + F.col("_s.m.n") - F.col("_s.m.s.left") + 1
+    return placed.select(F.col("_k").alias(key), start.cast("bigint").alias("start_pos"), (start + F.col("_s.m.s.core") - 1).cast("bigint").alias("end_pos"))

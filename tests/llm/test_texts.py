@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from notelake.llm import encode, packing, sentences
 
@@ -101,6 +102,12 @@ def test_classes_are_filled_by_count():
     assert bins([37, 35, 10, 8], 60) == [[37, 10], [35, 8]]
 
 
+def test_sums_before(spark):
+    rows = [(list(range(n)),) for n in (1, 2, 3, 10, 1000)]
+    got = spark.createDataFrame(rows, "n array<bigint>").select("n", sentences.sums_before(F.col("n")).alias("s")).collect()
+    assert all(r.s == [sum(r.n[:i]) for i in range(len(r.n))] for r in got)
+
+
 CASES = {
     "Ao lado do pacote.O Sr. Zé mediu. No painel estável.A equipe foi.Der Tag kam.": ["Ao lado do pacote.", "O Sr. Zé mediu.", "No painel estável.", "A equipe foi.", "Der Tag kam."],
     "One. Two! Three? Really?! End": ["One.", "Two!", "Three?", "Really?!", "End"],
@@ -122,6 +129,10 @@ CASES = {
     "---\ntitle: a. b\n---\n# A. B? C\n\n#tag #two\n\n- [ ] One. Two\n- [x] Three\n1. Four\n2. Five. Six\n\n> Quote one.\n> Quote two\n\n```py\nx. Y. Z\n```\nText\ngoes on. End": [
         "A. B? C", "One.", "Two", "Three", "Four", "Five.", "Six", "Quote one.", "Quote two", "Text\ngoes on.", "End"],
     "﻿## Title\r\n\r\nA b.\r\nC d.\r\n": ["Title", "A b.", "C d."],
+    "3. First item\n" + "goes on and on\n" * 9 + "4. Second item. " + "x" * 900 + "\n5. Third": ["First item\n" + ("goes on and on\n" * 9).strip(), "Second item.", "x" * 900, "Third"],
+    "It began in\n1999. Then it\n2000. ended.\n1. One\n12. Two": ["It began in\n1999.", "Then it\n2000.", "ended.", "One", "Two"],
+    "Am" + " " * 50 + "3. Mai kam er. Wort:" + " " * 40 + "„Ja. Nein!“ und ging. В 2024" + " " * 30 + "г. всё.": ["Am" + " " * 50 + "3. Mai kam er.", "Wort:" + " " * 40 + "„Ja. Nein!“ und ging.", "В 2024" + " " * 30 + "г. всё."],
+    "ระบบทำงาน" + " " * 300 + "ทีมเก็บเอกสาร": ["ระบบทำงาน", "ทีมเก็บเอกสาร"],
     "~~~\nopen. Fence": [],
     "": [],
     " \n\t": [],
@@ -141,8 +152,8 @@ def test_sentences(spark):
 
 
 def test_sentences_of_long_texts(spark):
-    texts = ["Word one two three. " * 20_000, "a" * 300_000, "(" * 5000 + "x. Y", '"' * 4001 + " a. B", "x\n" * 20_000 + "Yes. Zed", "`" * 9999]
+    texts = ["Word one two three. " * 50_000, "a" * 300_000, "(" * 5000 + "x. Y", '"' * 4001 + " a. B", "x\n" * 20_000 + "Yes. Zed", "`" * 9999]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.n for r in sentences.sentences(df, "doc_id", "text").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
-    assert got[0] == 20_000 and got[1] == 1 and got[4] == 2
+    assert got[0] == 50_000 and got[1] == 1 and got[4] == 2
     assert sentences.sentences(df.limit(0), "doc_id", "text").count() == 0
