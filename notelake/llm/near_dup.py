@@ -7,10 +7,16 @@ coordinates, the earliest dart. Two records agree in a coordinate with a probabi
 similarity. Signatures are cut into bands; records that agree in a whole band are candidates, and candidates are
 checked exactly.
 
-Words weigh 1 in the queries here. Records with the same set of words are one class and are signed once, so copies
-never meet in the bands; the self-join on bands is a plain equi-join whose skew Spark's adaptive execution splits. No
-bucket is capped. With k = rows x bands = 8 x 96 a pair at similarity s becomes a candidate with probability
-1 - (1 - s^8)^96: 0.9966 at 0.70, 0.9999 at 0.74.
+Elements may carry weights (``banded``); the queries here are on plain sets, where every word weighs 1. Records with the
+same set of words are one class and are signed once, so copies never meet in the bands. The self-join on bands is one plain
+equi-join, both sides of which read the same shuffle: no band is counted, gathered or capped, and a band that holds a third
+of all records is split over tasks by adaptive execution; what it costs are the pairs of different texts that agree in a
+band, which is what the result consists of. With k = rows x bands = 8 x 96 a pair at similarity s becomes a candidate with
+probability 1 - (1 - s^8)^96: 0.9966 at 0.70, 0.9999 at 0.74.
+
+Exact copies come out as all pairs in classes of up to ``all_pairs_up_to`` records. In larger classes the smallest key
+stands for all: it is paired with each copy, and with the similar records of other classes. ``groups`` gives every record
+its class, so no link between different texts is lost.
 
 Defined results: records with null or blank text take no part; a null title counts as empty; repeated rows of a key count
 once; records without a single word take no part; empty tables give empty results.
@@ -26,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import is_blank
 from ..operators.graph import components
@@ -37,9 +42,6 @@ ROWS, BANDS = 8, 96
 SKETCH_BITS = 128
 #: Height of the rank levels in which darts are thrown.
 STEP = 16.0
-#: Classes of exact copies up to this size come out as all pairs; of larger ones only the smallest key is paired, with its
-#: copies and with similar records of other classes.
-ALL_PAIRS_UP_TO = 50
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -131,8 +133,12 @@ def words(*texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"[\p{L}\p{N}_\-]+"), F.lit(0))))
 
 
-def banded(df: DataFrame, key: str, elements: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """key, bucket, s1, s2: one row per band of each record, with its sketch; elements is an array of 64-bit hashes."""
+def banded(df: DataFrame, key: str, elements: str, weights: str | None = None, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """key, bucket, s1, s2: one row per band of each record, with its sketch.
+
+    elements is an array of distinct 64-bit hashes, weights an array of as many positive numbers (1 each if there is none).
+    Records without an element, and those in which a weight is missing, null or not a positive number, take no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -141,7 +147,8 @@ def banded(df: DataFrame, key: str, elements: str, rows: int = ROWS, bands: int
                 lists = batch.column(1)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-                sig = signatures(flat, np.ones(len(flat)), ends, rows * bands)
+                weight = np.ones(len(flat)) if weights is None else batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                sig = signatures(flat, weight, ends, rows * bands)
                 where = np.repeat(np.arange(batch.num_rows), bands)
                 s = sketch(sig)[where]
                 yield pa.RecordBatch.from_arrays(
@@ -149,7 +156,9 @@ def banded(df: DataFrame, key: str, elements: str, rows: int = ROWS, bands: int
                     names=[key, "bucket", "s1", "s2"],
                 )
 
-    narrow = df.where(F.size(elements) > 0).select(key, elements)
+    narrow = df.where(F.size(elements) > 0).select(key, elements, *([] if weights is None else [F.col(weights).cast("array<double>").alias("_weights")]))
+    if weights is not None:
+        narrow = narrow.where((F.size("_weights") == F.size(elements)) & F.forall("_weights", lambda w: (w > 0) & (w < float("inf"))))
     return narrow.mapInArrow(run, f"`{key}` {narrow.schema[key].dataType.simpleString()}, bucket bigint, s1 bigint, s2 bigint")
 
 
@@ -174,8 +183,7 @@ def classes(df: DataFrame, key: str, title: str, content: str) -> tuple[DataFram
 def similar_classes(reps: DataFrame, at_least: float) -> DataFrame:
     """class_a < class_b whose word sets have a Jaccard similarity of at least at_least, and that similarity."""
     reps = cut_lineage(reps.withColumn("n", F.monotonically_increasing_id()), "numbered")  # a short key for the shuffles
-    shared = banded(reps, "n", "e").withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
-    shared = cut_lineage(shared.select("n", "bucket", "s1", "s2"), "bands")
+    shared = banded(reps, "n", "e")
     left = shared.select(F.col("n").alias("a"), "bucket", F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     right = shared.select(F.col("n").alias("b"), "bucket", F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
@@ -192,8 +200,8 @@ def similar_classes(reps: DataFrame, at_least: float) -> DataFrame:
     )
 
 
-def similar_pairs(df: DataFrame, key: str, title: str, content: str, at_least: float = 0.7) -> DataFrame:
-    """key_a < key_b of all records whose word sets are similar, copies expanded (see ALL_PAIRS_UP_TO)."""
+def similar_pairs(df: DataFrame, key: str, title: str, content: str, at_least: float = 0.7, all_pairs_up_to: int = 50) -> DataFrame:
+    """key_a < key_b of all records whose word sets are similar; all_pairs_up_to: see the module."""
     members, reps = classes(df, key, title, content)
     members = cut_lineage(members, "members")
     reps = cut_lineage(reps, "reps")
@@ -201,12 +209,12 @@ def similar_pairs(df: DataFrame, key: str, title: str, content: str, at_least: f
     size = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
     many = members.join(size, "class_id")
     # a class too large for all its pairs stands for itself by its smallest key, which is its class_id
-    spread = members.join(size.where(F.col("n") > ALL_PAIRS_UP_TO), "class_id", "left").where("n IS NULL OR key = class_id").select("key", "class_id")
+    spread = members.join(size.where(F.col("n") > all_pairs_up_to), "class_id", "left").where("n IS NULL OR key = class_id").select("key", "class_id")
     a, b = spread.select(F.col("key").alias("ka"), F.col("class_id").alias("class_a")), spread.select(F.col("key").alias("kb"), F.col("class_id").alias("class_b"))
     across = linked.join(a, "class_a").join(b, "class_b").select("ka", "kb")
-    small = many.where(F.col("n") <= ALL_PAIRS_UP_TO)
+    small = many.where(F.col("n") <= all_pairs_up_to)
     within = small.select("class_id", F.col("key").alias("ka")).join(small.select("class_id", F.col("key").alias("kb")), "class_id").where("ka < kb").select("ka", "kb")
-    star = many.where((F.col("n") > ALL_PAIRS_UP_TO) & (F.col("key") != F.col("class_id"))).select(F.col("class_id").alias("ka"), F.col("key").alias("kb"))
+    star = many.where((F.col("n") > all_pairs_up_to) & (F.col("key") != F.col("class_id"))).select(F.col("class_id").alias("ka"), F.col("key").alias("kb"))
     return (
         across.unionByName(within).unionByName(star)
         .where("ka <> kb")

@@ -37,25 +37,34 @@ def p3_neighbours(spark, d):
     return one.select("chunk_id", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"))
 
 
-@llm.query(
-    "p4_found",
-    r"""
-WITH w AS (
-  SELECT DISTINCT chunk_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}_\-]+'))) AS words
-  FROM pack_rows WHERE trim(content) <> ''
+#: All pairs of word sets at 0.7 or more, exact: pairs must share a word among the rarest ones of both.
+_P4 = r"""
+WITH RECURSIVE w AS (
+  SELECT chunk_id, min(words) AS words FROM (SELECT chunk_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}_\-]+'))) AS words
+    FROM pack_rows WHERE regexp_matches(content, '[^\s\x0b\p{Z}\x{85}\x{FEFF}]') AND chunk_id IS NOT NULL) WHERE len(words) > 0 GROUP BY 1
 ), e AS (SELECT chunk_id, len(words) AS n, unnest(words) AS word FROM w),
 f AS (SELECT word, count(*) AS df FROM e GROUP BY 1),
 r AS (SELECT e.*, row_number() OVER (PARTITION BY chunk_id ORDER BY df, e.word) AS place FROM e JOIN f USING (word)),
 prefix AS (SELECT chunk_id, n, word FROM r WHERE place <= n - ceil(0.7 * n - 1e-9) + 1),
-cand AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b FROM prefix a JOIN prefix b USING (word) WHERE a.chunk_id < b.chunk_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9)
-SELECT a AS chunk_a, b AS chunk_b FROM cand JOIN w x ON x.chunk_id = a JOIN w y ON y.chunk_id = b
-WHERE len(list_intersect(x.words, y.words)) / (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) >= 0.7""",
-)
+cand AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b FROM prefix a JOIN prefix b USING (word) WHERE a.chunk_id < b.chunk_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9),
+p AS (SELECT a, b FROM cand JOIN w x ON x.chunk_id = a JOIN w y ON y.chunk_id = b
+  WHERE len(list_intersect(x.words, y.words)) / (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) >= 0.7)
+"""
+
+
+@llm.query("p4_found", _P4 + "SELECT a AS chunk_a, b AS chunk_b FROM p")
 def p4_found(spark, d):
     return near_dup.similar_pairs(table(spark, d, "pack_rows"), "chunk_id", "title", "content", 0.7).toDF("chunk_a", "chunk_b")
 
 
-@llm.query("p4_groups")
+@llm.query(
+    "p4_groups",
+    _P4 + """, c AS (SELECT words, min(chunk_id) AS class_id FROM w GROUP BY 1), m AS (SELECT chunk_id, class_id FROM w JOIN c USING (words)),
+l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM p JOIN m x ON x.chunk_id = a JOIN m y ON y.chunk_id = b WHERE x.class_id <> y.class_id),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(id, g) AS (SELECT class_id, class_id FROM c UNION SELECT u.b, reach.g FROM reach JOIN u ON u.a = reach.id WHERE reach.g < u.b),
+g AS (SELECT id AS class_id, min(g) AS group_id FROM reach GROUP BY 1), n AS (SELECT a AS class_id, count(DISTINCT b) AS n_links FROM u GROUP BY 1)
+SELECT chunk_id, class_id, coalesce(n_links, 0) AS n_links, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m JOIN g USING (class_id) LEFT JOIN n USING (class_id)""",
+)
 def p4_groups(spark, d):
     return near_dup.groups(table(spark, d, "pack_rows"), "chunk_id", "title", "content", 0.7)
 

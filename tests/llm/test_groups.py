@@ -40,12 +40,22 @@ def test_similar_pairs_equal_brute_force(spark):
     assert near_dup.similar_pairs(spark.createDataFrame([], ROW), "chunk_id", "title", "content").count() == 0
 
 
-def test_large_classes_keep_their_links(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "ALL_PAIRS_UP_TO", 5)
+def test_weighted_bands(spark):
+    ddl = "n string, e array<bigint>, w array<double>, bucket int"
+    heavy, light = [50.0] + [1.0] * 20, [1.0] * 21
+    rows = [("a", list(range(21)), heavy, 0), ("b", [0, *range(100, 120)], heavy, 0), ("c", list(range(200, 221)), light, 0), ("d", [200, *range(300, 320)], light, 0)]
+    rows += [("x", [1], [None], 0), ("y", [1], [-1.0], 0), ("z", [], [], 0), ("u", [1, 2], [1.0], 0), ("v", None, None, 0)]
+    got = near_dup.banded(spark.createDataFrame(rows, ddl), "n", "e", "w").collect()
+    by = {n: {r.bucket for r in got if r.n == n} for n in "abcdxyzuv"}
+    # weighted similarity of a and b: 50 / 90, of c and d: 1 / 41
+    assert len(by["a"] & by["b"]) > 0 and not by["c"] & by["d"] and all(len(by[n]) == 96 for n in "abcd") and not any(by[n] for n in "xyzuv")
+
+
+def test_large_classes_keep_their_links(spark):
     words = " ".join(f"w{i}" for i in range(40))
     rows = [(f"a{i:02}", None, words, "", 0) for i in range(20)] + [("b", None, words + " more", "", 0)]
     df = spark.createDataFrame(rows, ROW)
-    got = {tuple(r) for r in near_dup.similar_pairs(df, "chunk_id", "title", "content").collect()}
+    got = {tuple(r) for r in near_dup.similar_pairs(df, "chunk_id", "title", "content", all_pairs_up_to=5).collect()}
     assert got == {("a00", f"a{i:02}") for i in range(1, 20)} | {("a00", "b")}
     groups = {r.chunk_id: (r.group_id, r.group_size) for r in near_dup.groups(df, "chunk_id", "title", "content").collect()}
     assert set(groups.values()) == {("a00", 21)} and len(groups) == 21
