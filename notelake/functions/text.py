@@ -16,6 +16,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def strip_end(c: Column) -> Column:
+    """Without white space at the end."""
+    return F.regexp_replace(c, f"[{SPACE}]+\\z", "")
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 

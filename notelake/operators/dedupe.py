@@ -1,12 +1,14 @@
-"""Duplicate notes: exact by body hash, semantic by cosine.
+"""Duplicate notes: exact by body hash, semantic by cosine; and what becomes of them.
 
 Exact groups come out as a star (the first note by path against each other member), so a group of any size costs one
 hash aggregation. Semantic candidates share a band of signs of random projections (20 signs, 150 bands: a pair at
-cosine 0.92 is missed with a probability of about 5e-5), in place of a cap on pairs per bucket; equal vectors are one
-class first, so copies never meet each other in the bands.
+cosine 0.92 is missed with a probability of about 5e-5), in place of a cap on pairs per bucket, and a sketch of 128 signs
+sorts out most of the others. Equal vectors are one class first, so copies never meet each other in the bands; the join
+on bands is a plain equi-join that adaptive execution splits. Classes of up to ``all_pairs_up_to`` rows come out as all
+pairs; in larger ones the smallest key stands for all, and ``vector_classes`` gives every row its class.
 
 Defined results: notes with null content have an empty body and equal each other; rows without a usable vector take no
-part in the semantic scan; every pair comes once, smaller key first.
+part in the semantic scan; every pair comes once, smaller key first; a limit below 1 counts as 1.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.embed import embedding
 from ..functions.text import strip
+from ..session import cut_lineage
+from .notes import add_related, merged, merged_into
 
-SIGNS, BANDS = 20, 150
-ALL_PAIRS_UP_TO = 50
+SIGNS, BANDS, SKETCH = 20, 150, 128
+#: The least cosine of semantic duplicates, and that from which they need no word in common.
+AT_LEAST, CERTAIN = 0.92, 0.975
 
 
 def comparable_body(content: Column) -> Column:
@@ -47,7 +52,7 @@ def shared_words(a: Column, b: Column) -> Column:
 
 
 def _signed(df: DataFrame, width: int) -> DataFrame:
-    """id, unit (float vector), bands array<bigint> of the usable rows of (id, vec)."""
+    """id, unit (vector of length 1), bands array<bigint>, s1, s2 (sketch) of the usable rows of (id, vec)."""
     planes = np.random.default_rng(23).standard_normal((width, SIGNS * BANDS)).astype(np.float32)
     powers = (1 << np.arange(SIGNS, dtype=np.int64))[None, None, :]
 
@@ -60,38 +65,118 @@ def _signed(df: DataFrame, width: int) -> DataFrame:
                     ok = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1, initial=0) > 0)
                 x = x[ok]
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                signs = (x.astype(np.float32) @ planes > 0).reshape(len(x), BANDS, SIGNS)
-                keys = (signs * powers).sum(axis=2)
+                flat = x.astype(np.float32) @ planes > 0
+                keys = (flat.reshape(len(x), BANDS, SIGNS) * powers).sum(axis=2)
+                short = np.packbits(flat[:, :SKETCH], axis=1).view(np.int64).reshape(-1, 2)
                 lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1] if len(a) else 1, dtype=np.int32)[: len(a) + 1]), pa.array(a.ravel(), t))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(pa.array(ok)), lists(x, pa.float64()), lists(keys, pa.int64())], names=["id", "unit", "bands"]
+                    [batch.column(0).filter(pa.array(ok)), lists(x, pa.float64()), lists(keys, pa.int64()), pa.array(short[:, 0]), pa.array(short[:, 1])],
+                    names=["id", "unit", "bands", "s1", "s2"],
                 )
 
-    return df.mapInArrow(run, "id string, unit array<double>, bands array<bigint>")
+    return df.mapInArrow(run, "id string, unit array<double>, bands array<bigint>, s1 bigint, s2 bigint")
 
 
-def semantic_duplicates(df: DataFrame, key: str, vector: str, width: int, at_least: float = 0.92) -> DataFrame:
-    """left_id < right_id, score (rounded to 4 decimals) of rows whose vectors have a cosine of at least at_least."""
-    from ..session import cut_lineage
+def _most_different(at_least: float) -> int:
+    """Sketch signs in which a pair of this cosine differs at most, 4.5 standard deviations above the mean."""
+    p = float(np.arccos(at_least) / np.pi)
+    return int(SKETCH * p + 4.5 * np.sqrt(SKETCH * p * (1 - p)))
+
 
+def _classes(df: DataFrame, key: str, vector: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep of the usable rows; signed representatives)."""
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     member = cut_lineage(rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", "vec", F.xxhash64("vec").alias("h")), "vectors")
     rep = member.groupBy("h", "vec").agg(F.min("id").alias("rep"))
     signed = cut_lineage(_signed(rep.select(F.col("rep").alias("id"), "vec"), width), "signed")
-    banded = signed.select("id", F.posexplode("bands").alias("band", "bucket"))
-    pairs = banded.alias("a").join(banded.alias("b"), ["band", "bucket"]).where("a.id < b.id").select(F.col("a.id").alias("l"), F.col("b.id").alias("r")).distinct()
+    of = member.join(rep, ["h", "vec"]).select("id", "rep").join(signed.select(F.col("id").alias("rep")), "rep", "left_semi")
+    return cut_lineage(of, "vector-classes"), signed
+
+
+def _close(signed: DataFrame, at_least: float) -> DataFrame:
+    """l < r, score of representatives whose cosine is at least at_least."""
+    banded = signed.select("id", "s1", "s2", F.posexplode("bands").alias("band", "bucket"))
+    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    near = (F.col("a.id") < F.col("b.id")) & (differ <= _most_different(at_least))
+    pairs = banded.alias("a").join(banded.alias("b"), ["band", "bucket"]).where(near).select(F.col("a.id").alias("l"), F.col("b.id").alias("r")).distinct()
     unit = signed.select("id", "unit")
     both = pairs.join(unit.select(F.col("id").alias("l"), F.col("unit").alias("x")), "l").join(unit.select(F.col("id").alias("r"), F.col("unit").alias("y")), "r")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    close = both.select("l", "r", dot.alias("score")).where(F.col("score") >= at_least)
+    return both.select("l", "r", dot.alias("score")).where(F.col("score") >= at_least)
+
+
+def vector_classes(df: DataFrame, key: str, vector: str, width: int, at_least: float = AT_LEAST) -> DataFrame:
+    """id, class_id (the smallest id with an equal vector), n_links (other classes with a cosine of at least at_least)."""
+    of, signed = _classes(df, key, vector, width)
+    ends = _close(signed, at_least).select(F.explode(F.array("l", "r")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return of.join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def semantic_duplicates(df: DataFrame, key: str, vector: str, width: int, at_least: float = AT_LEAST, all_pairs_up_to: int = 50) -> DataFrame:
+    """left_id < right_id, score (rounded to 4 decimals) of rows whose vectors have a cosine of at least at_least."""
+    of, signed = _classes(df, key, vector, width)
+    close = _close(signed, at_least)
+    size = of.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    large = size.where(F.col("n") > all_pairs_up_to).select("rep")
     # copies of one vector: all pairs in small classes, pairs with the smallest id in large ones
-    of = member.join(rep, ["h", "vec"]).select("id", "rep").withColumn("n", F.count("*").over(Window.partitionBy("rep")))
-    spread = of.where((F.col("n") <= ALL_PAIRS_UP_TO) | (F.col("id") == F.col("rep")))
+    spread = of.join(large.withColumn("large", F.lit(True)), "rep", "left").where("large IS NULL OR id = rep").select("id", "rep")
     a, b = spread.select(F.col("rep").alias("l"), F.col("id").alias("i")), spread.select(F.col("rep").alias("r"), F.col("id").alias("j"))
     across = close.join(a, "l").join(b, "r").select("i", "j", "score")
-    usable = of.join(signed.select(F.col("id").alias("rep")), "rep", "left_semi").where("n > 1")
-    small = usable.where(F.col("n") <= ALL_PAIRS_UP_TO)
+    small = spread.join(size.where(F.col("n") <= all_pairs_up_to).select("rep"), "rep", "left_semi")
     within = small.select("rep", F.col("id").alias("i")).join(small.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j", F.lit(1.0).alias("score"))
-    star = usable.where((F.col("n") > ALL_PAIRS_UP_TO) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score"))
+    star = of.join(large, "rep", "left_semi").where("id <> rep").select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score"))
     out = across.unionByName(within).unionByName(star)
     return out.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), F.round("score", 4).alias("score")).distinct()
+
+
+def scan(docs: DataFrame, agent: str | None = None, focus: str | None = None, limit: int = 25, at_least: float = AT_LEAST, semantic: bool = True) -> DataFrame:
+    """left_path, right_path, kind, score of docs(path, agent_id, title, content): exact pairs, then semantic ones, the best first.
+
+    Semantic pairs below CERTAIN share a word of more than two characters in their titles or their bodies.
+    focus: only pairs with this path.
+    """
+    notes = docs if agent is None else docs.where(F.col("agent_id") == agent)
+    plain = F.regexp_replace(F.translate("path", "\\", "/"), r"^\./", "")
+    body = strip(F.regexp_replace(comparable_body(F.col("content")), r"[\s\x{A0}]+", " "))
+    notes = notes.where("path IS NOT NULL").groupBy(plain.alias("path")).agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))).alias("n"))
+    notes = cut_lineage(notes.select("path", "n.*").select("path", "title", "content", body.alias("body")), "notes")
+    exact = exact_duplicates(notes).select("left_path", "right_path", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
+    found = exact
+    if semantic:
+        vectors = notes.select("path", embedding(F.concat("title", F.lit("\n"), "body")).alias("vec"))
+        near = semantic_duplicates(vectors, "path", "vec", 192, at_least).select(F.col("left_id").alias("left_path"), F.col("right_id").alias("right_path"), "score")
+        near = near.join(exact.select("left_path", "right_path"), ["left_path", "right_path"], "left_anti")
+        l = notes.select(F.col("path").alias("left_path"), F.col("title").alias("lt"), F.col("body").alias("lb"))  # noqa: E741
+        r = notes.select(F.col("path").alias("right_path"), F.col("title").alias("rt"), F.col("body").alias("rb"))
+        alike = (F.col("score") >= CERTAIN) | shared_words(F.col("lt"), F.col("rt")) | shared_words(F.col("lb"), F.col("rb"))
+        kept = near.join(l, "left_path").join(r, "right_path").where(alike)
+        found = exact.unionByName(kept.select("left_path", "right_path", F.lit("semantic").alias("kind"), "score"))
+    if focus is not None:
+        found = found.where((F.col("left_path") == focus) | (F.col("right_path") == focus))
+    return found.orderBy(F.desc("score"), "left_path", "right_path").limit(max(1, limit))
+
+
+ACTIONS = ("merge", "link", "ignore")
+
+
+def resolve(docs: DataFrame, pairs: DataFrame, action: str) -> DataFrame:
+    """path, content of the notes that change when pairs(left_path, right_path) of docs(path, title, content) are resolved.
+
+    link: each note gets a low-priority link to the other; ignore: the left one does; merge: the left one gets the body of
+    the right as well, and the right a note of where it went. A pair that names a path twice or one that is not there fails
+    the job; a note in several pairs is changed by the first of them, by path.
+    """
+    if action not in ACTIONS:
+        raise ValueError(f"action must be one of {', '.join(ACTIONS)}")
+    side = lambda s: docs.select(F.col("path").alias(f"{s}_path"), F.coalesce("title", F.lit("")).alias(f"{s}_title"), F.coalesce("content", F.lit("")).alias(f"{s}_content"))
+    both = pairs.select("left_path", "right_path").join(side("left"), "left_path", "left").join(side("right"), "right_path", "left")
+    bad = (F.col("left_path") == F.col("right_path")) | F.col("left_content").isNull() | F.col("right_content").isNull()
+    both = both.withColumn("left_path", F.when(bad, F.raise_error(F.lit("a pair needs two different notes that exist"))).otherwise(F.col("left_path")))
+    left, right = add_related(F.col("left_content"), F.col("right_title")), add_related(F.col("right_content"), F.col("left_title"))
+    if action == "merge":
+        left = merged(left, F.col("right_title"), comparable_body(F.col("right_content")))
+        right = merged_into(right, F.col("left_title"))
+    one = F.struct(F.col("left_path").alias("path"), left.alias("content"))
+    two = F.struct(F.col("right_path").alias("path"), right.alias("content"))
+    changed = both.select("left_path", "right_path", F.explode(F.array(one) if action == "ignore" else F.array(one, two)).alias("c"))
+    return changed.groupBy("c.path").agg(F.min_by("c.content", F.struct("left_path", "right_path")).alias("content"))

@@ -9,6 +9,8 @@ a link of its source, so that source is no orphan; empty tables give empty resul
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,33 @@ def joined_links(docs: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def listed_links(docs: DataFrame, links: DataFrame, limit: int, agent: str | None = None) -> DataFrame:
+    """The first ``limit`` joined links by the title of their source."""
+    found = of_agent(joined_links(docs, links), agent).drop("written_title")
+    return found.orderBy(F.lower("from_title"), "from_title", "from_path", F.lower("to_title"), "to_title", "weight").limit(max(0, limit))
+
+
+def node(docs: DataFrame, id_: str, agent: str | None = None) -> DataFrame:
+    """The one node of an id, with its content; nothing if it is not there or another agent's."""
+    return of_agent(docs.where(F.col("id") == id_), agent).select("id", "agent_id", "title", "path", "content", "tags").limit(1)
+
+
+def summary_nodes(docs: DataFrame, agent: str | None = None) -> DataFrame:
+    """The nodes of a graph without their contents."""
+    return of_agent(docs, agent).select("id", "agent_id", "title", "path", F.lit("").alias("content"), "tags")
+
+
+def summary_edges(docs: DataFrame, links: DataFrame, agent: str | None = None) -> DataFrame:
+    """source, target, target_title, weight, priority of the links of the nodes; a target may be null or lie elsewhere."""
+    known = links.join(of_agent(docs, agent).select(F.col("id").alias("from_document_id")), "from_document_id", "left_semi")
+    return known.select(F.col("from_document_id").alias("source"), F.col("to_document_id").alias("target"), F.col("to_title").alias("target_title"), "weight", "priority")
+
+
+def tag_counts(docs: DataFrame) -> DataFrame:
+    """tag, documents: every distinct tag of the documents, by name."""
+    return docs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("documents")).orderBy("tag")
+
+
 def backlinks(docs: DataFrame, links: DataFrame, title: str, agent: str | None = None) -> DataFrame:
     """Links whose written title is the given one, whatever its case; heaviest first."""
     found = joined_links(docs, links.where(F.lower("to_title") == title.lower()))
@@ -104,7 +133,7 @@ def edges_between(docs: DataFrame, links: DataFrame) -> DataFrame:
     return e.select(F.least("from_document_id", "to_document_id").alias("a"), F.greatest("from_document_id", "to_document_id").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the smallest id each node is connected with.
 
     Alternating large-star and small-star steps over the edges (each node is re-linked to its smallest neighbour), which
@@ -130,35 +159,39 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
     current = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "r0")
     mark = None
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         current = save(star(save(star(current, True), f"l{i}"), False), f"r{i}")
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = current.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def checks(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """check, ok, n: are there documents, and no broken links?"""
-    return stats(docs, links).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("documents").alias("check"), (F.col("documents") > 0).alias("ok"), F.col("documents").alias("n")),
-                F.struct(F.lit("broken-links").alias("check"), F.col("ok").alias("ok"), F.col("broken_links").alias("n")),
-            )
-        ).alias("c")
-    ).select("c.*")
+def checks(docs: DataFrame, links: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """check, ok, n: is the vault there, does it hold notes, are they indexed, and is no link broken?
+
+    notes are the files of the vault; None: the documents were made from all of them.
+    """
+    row = stats(docs, links).join((docs if notes is None else notes).agg(F.count("*").alias("files")))  # one row
+    check = lambda name, ok, n: F.struct(F.lit(name).alias("check"), ok.alias("ok"), n.cast("bigint").alias("n"))
+    four = F.array(
+        check("vault", F.lit(True), F.lit(1)),
+        check("markdown-files", F.col("files") > 0, F.col("files")),
+        check("index", F.col("documents") > 0, F.col("documents")),
+        check("broken-links", F.col("ok"), F.col("broken_links")),
+    )
+    return row.select(F.explode(four).alias("c")).select("c.*")
 
 
 def signature(docs: DataFrame, links: DataFrame) -> DataFrame:
     """One row that changes whenever a node or an edge does: counts and order-free sums of row hashes."""
-    total = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = lambda *c: F.conv(F.substring(F.sha2(F.concat_ws("|", *map(text, c)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda *c: F.coalesce(F.sum(row(*c)), F.lit(0)).cast("string")
     n = docs.agg(F.count("*").alias("nodes"), total("id", "agent_id", "title", "path").alias("node_sum"))
-    e = links.agg(F.count("*").alias("edges"), total("from_document_id", F.coalesce("to_document_id", F.lit("")), "to_title", "weight", "priority").alias("edge_sum"))
+    e = links.agg(F.count("*").alias("edges"), total("from_document_id", "to_document_id", "to_title", "weight", "priority").alias("edge_sum"))
     return n.join(e).select("nodes", "edges", F.sha2(F.concat_ws("|", "nodes", "node_sum", "edges", "edge_sum"), 256).alias("signature"))  # one row each
 
 

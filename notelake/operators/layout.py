@@ -13,6 +13,8 @@ results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,8 +83,11 @@ def primary_hub(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("hub_score", hub_score(F.col("title"))).where("hub_score > 0").orderBy(F.desc("hub_score"), F.desc("degree"), "title", "id").limit(1)
 
 
-def segments(nodes: DataFrame, edges: DataFrame, components: DataFrame, max_levels: int = 200) -> DataFrame:
-    """id, segment: of nodes(id, title, path, degree), undirected edges(a, b) and components(id, component)."""
+def segments(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
+    """id, segment: of nodes(id, title, path, degree), undirected edges(a, b) and components(id, component).
+
+    Each level is written once; a level needs those written so far only to leave out the nodes that have a segment.
+    """
     n = nodes.join(components, "id")
     natural = (group_label(F.col("path")) == "maps") | F.col("title").rlike(_W("moc|map"))
     n = n.withColumn("natural", natural.cast("int"))
@@ -92,23 +97,27 @@ def segments(nodes: DataFrame, edges: DataFrame, components: DataFrame, max_leve
     seed = marked.where(F.when(F.col("has") == 1, F.col("natural") == 1).otherwise(F.col("id") == F.col("top.id")))
     name = F.trim(F.regexp_replace(F.regexp_replace("title", r"(?i)^MOC\s+", ""), r"(?i)\s+Memory Map$", ""))
     rank = F.struct("first_title", (-F.col("degree")).alias("nd"), "title", "id")
-    done = cut_lineage(seed.select("id", rank.alias("rank"), F.coalesce(F.nullif(name, F.lit("")), "title").alias("segment")), "segments")
-    frontier = done
+    frontier = cut_lineage(seed.select("id", rank.alias("rank"), F.coalesce(F.nullif(name, F.lit("")), "title").alias("segment")), "segments")
+    levels = [frontier]
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
-    for _ in range(max_levels):
+    while True:
+        done = reduce(DataFrame.unionByName, levels)
         step = frontier.select(F.col("id").alias("a"), "rank", "segment").join(both, "a")
         near = step.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("rank", "segment")).alias("m")).join(done.select("id"), "id", "left_anti")
         frontier = cut_lineage(near.select("id", "m.rank", "m.segment"), "frontier")
         if frontier.isEmpty():
             return nodes.select("id", "path").join(done.select("id", "segment"), "id", "left").select("id", F.coalesce("segment", group_label(F.col("path"))).alias("segment"))
-        done = cut_lineage(done.unionByName(frontier), "segments")
-    raise RuntimeError(f"segments did not settle in {max_levels} levels")
+        levels.append(frontier)
+        if len(levels) > 30:  # a long path: fewer files to read
+            levels = [cut_lineage(reduce(DataFrame.unionByName, levels), "segments")]
 
 
 def place(nodes: DataFrame) -> DataFrame:
     """x, y of nodes(id, title, path, degree, segment): petals around the segment's centre by rank."""
-    sized = nodes.groupBy("segment").agg(F.count("*").alias("size"))
-    numbered = sized.select("segment", "size", (F.row_number().over(Window.orderBy("segment")) - 1).alias("s"), F.count("*").over(Window.partitionBy()).alias("k"))  # one row per segment
+    sized = cut_lineage(nodes.groupBy("segment").agg(F.count("*").alias("size")), "segment-sizes")
+    k = sized.count()
+    one = rank_within(sized.withColumn("_all", F.lit(0)), ["_all"], [F.asc("segment")])
+    numbered = one.select("segment", "size", (F.col("rank") - 1).alias("s"), F.lit(k).cast("bigint").alias("k"))
     known = F.create_map(*(x for k, v in SEGMENT_ANGLES.items() for x in (F.lit(k), F.lit(v))))
     angle = F.coalesce(known[F.col("segment")], F.lit(6.283185307179586) * F.col("s") / F.col("k") - 1.5707963267948966)
     radius = F.when(F.col("k") == 1, 0.0).otherwise(340.0 + F.least("size", F.lit(22)) * 10)
@@ -161,6 +170,15 @@ def centred(nodes: DataFrame) -> DataFrame:
     return both.withColumn("x", F.col("x") - F.coalesce("hub_x", F.lit(0.0))).withColumn("y", F.col("y") - F.coalesce("hub_y", F.lit(0.0))).drop("hub_x", "hub_y")
 
 
+#: How many edges a large graph may show, by its number of nodes.
+EDGE_LIMITS = ((100_000, 15_000), (50_000, 22_000), (25_000, 30_000), (0, 60_000))
+
+
+def edge_limit(n_nodes: int) -> int:
+    """The edges that a graph of so many nodes may show."""
+    return next(limit for above, limit in EDGE_LIMITS if n_nodes > above or above == 0)
+
+
 def edge_budget(links: DataFrame, limit: int) -> DataFrame:
     """Resolved links within a budget: the heaviest of each endpoint first, then the heaviest of all."""
     e = links.where("to_document_id IS NOT NULL AND to_document_id <> ''").select("from_document_id", "to_document_id", "to_title", "weight", "priority")

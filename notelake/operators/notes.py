@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FOLD_FROM, FOLD_TO, slug, strip, utf16_length
+from ..functions.text import FOLD_FROM, FOLD_TO, slug, strip, strip_end, utf16_length
 from ..session import cut_lineage
 from .documents import FENCED, WIKI, tags_of
 from .layout import rank_within
@@ -76,14 +76,20 @@ def connected(title: Column, content: Column) -> Column:
 def add_related(content: Column, title: Column) -> Column:
     """A low-priority link to the title at the end, unless the content cites it already."""
     cited = F.contains(F.regexp_replace(F.lower(content), r"\[\[\s*", "[["), F.concat(F.lit("[["), F.lower(title)))
-    return F.when(cited, content).otherwise(F.concat(F.rtrim(content), F.lit("\n\nRelated: [["), title, F.lit("]] priority: low #related-to\n")))
+    return F.when(cited, content).otherwise(F.concat(strip_end(content), F.lit("\n\nRelated: [["), title, F.lit("]] priority: low #related-to\n")))
 
 
 def merged(content: Column, other_title: Column, other_body: Column) -> Column:
     """The content with the other note's body under a heading of its own, once."""
     mark = F.concat(F.lit("## Merged Memory From [["), other_title, F.lit("]]"))
     body = strip(F.regexp_replace(other_body, r"\s+", " "))
-    return F.when(F.contains(content, mark), content).otherwise(F.concat(F.rtrim(content), F.lit("\n\n"), mark, F.lit("\n\n"), body, F.lit("\n")))
+    return F.when(F.contains(content, mark), content).otherwise(F.concat(strip_end(content), F.lit("\n\n"), mark, F.lit("\n\n"), body, F.lit("\n")))
+
+
+def merged_into(content: Column, title: Column) -> Column:
+    """The content with a line that says which note it was merged into, once."""
+    mark = F.concat(F.lit("Merged into [["), title, F.lit("]]"))
+    return F.when(F.contains(content, mark), content).otherwise(F.concat(strip_end(content), F.lit("\n\n"), mark, F.lit(" priority: low #related-to\n")))
 
 
 def legacy_tags(tags: Column) -> Column:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
 
 from pyspark.sql import functions as F
 
-from ..functions.embed import embed
 from ..operators import context, dedupe, documents, graph, search, snapshots
 from ..session import cut_lineage
 from ..sources import vault as source
 from ..sources.tables import table
 from .registry import Registry
+from .sql import embedded
 
 vault = Registry()
 QUERY = "orphan report vault"
-HUB = "Atlas Index"
+HUB, HUB_PATH = "Atlas Index", "agents/shared/atlas/atlas-index.md"
 
 #: The same vault stated in SQL, down to resolved links; every query below goes on from here.
 _V = r"""
@@ -115,6 +115,31 @@ def q_links_joined(spark, d):
     return graph.joined_links(*_both(spark, d)).drop("written_title")
 
 
+@vault.query("links_listed", _V + _JOINED + "SELECT * EXCLUDE (written_title) FROM j ORDER BY lower(from_title), from_title, from_path, lower(to_title), to_title, weight LIMIT 300")
+def q_links_listed(spark, d):
+    return graph.listed_links(*_both(spark, d), 300)
+
+
+@vault.query("graph_nodes", _V + "SELECT id, agent_id, title, path, '' AS content, list_sort(tags) AS tags FROM d")
+def q_graph_nodes(spark, d):
+    return graph.summary_nodes(_docs(spark, d)).withColumn("tags", F.sort_array("tags"))
+
+
+@vault.query("graph_edges", _V + "SELECT from_document_id AS source, to_document_id AS target, to_title AS target_title, weight, priority FROM l")
+def q_graph_edges(spark, d):
+    return graph.summary_edges(*_both(spark, d))
+
+
+@vault.query("graph_node", _V + f"SELECT id, agent_id, title, path, content, list_sort(tags) AS tags FROM d WHERE path = '{HUB_PATH}'")
+def q_graph_node(spark, d):
+    return graph.node(_docs(spark, d), hashlib.sha256(HUB_PATH.encode()).hexdigest()[:24], "shared").withColumn("tags", F.sort_array("tags"))
+
+
+@vault.query("tag_counts", _V + "SELECT tag, count(*) AS documents FROM (SELECT unnest(tags) AS tag FROM d) GROUP BY 1")
+def q_tag_counts(spark, d):
+    return graph.tag_counts(_docs(spark, d))
+
+
 @vault.query("backlinks", _V + _JOINED + "SELECT * EXCLUDE (written_title) FROM j WHERE lower(written_title) = 'atlas index'")
 def q_backlinks(spark, d):
     return graph.backlinks(*_both(spark, d), HUB)
@@ -183,9 +208,8 @@ def q_components(spark, d):
     return graph.components(docs, graph.edges_between(docs, links))
 
 
-@cache
-def _query_vector(query: str) -> str:
-    return "[" + ", ".join(repr(x) for x in embed(query)) + "]::DOUBLE[]"
+#: The query's vector, computed in SQL.
+_Q = embedded("qe", f"(SELECT 0 AS id, '{QUERY}' AS text)")
 
 
 def _score_sql(cap: int, rows: str) -> str:
@@ -210,7 +234,7 @@ def q_fts(spark, d):
     return search.search(table(spark, d, "index_rows"), QUERY, 25, "fts").select("chunk_id", "document_id", "title", "score")
 
 
-@vault.query("search_semantic_all", f"SELECT chunk_id, round(max(s), 6) AS score FROM (SELECT chunk_id, {_COS} AS s FROM index_rows, (SELECT {_query_vector(QUERY)} AS q)) WHERE s > 0 GROUP BY 1")
+@vault.query("search_semantic_all", f"WITH {_Q} SELECT chunk_id, round(max(s), 6) AS score FROM (SELECT chunk_id, {_COS} AS s FROM index_rows, (SELECT x AS q FROM qe)) WHERE s > 0 GROUP BY 1")
 def q_semantic(spark, d):
     hits = search.scored(table(spark, d, "index_rows"), QUERY, "semantic")
     return hits.groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
@@ -218,7 +242,7 @@ def q_semantic(spark, d):
 
 @vault.query(
     "search_hybrid",
-    "WITH " + _score_sql(6, "(SELECT DISTINCT * FROM index_rows)") + f", h AS (SELECT *, text_score + 8 * {_COS} AS score FROM sc, (SELECT {_query_vector(QUERY)} AS q)) "
+    f"WITH {_Q}, " + _score_sql(6, "(SELECT DISTINCT * FROM index_rows)") + f", h AS (SELECT *, text_score + 8 * {_COS} AS score FROM sc, (SELECT x AS q FROM qe)) "
     "SELECT chunk_id, document_id, title, text_score, round(max(score), 6) AS score FROM h WHERE score > 0 GROUP BY ALL ORDER BY max(score) DESC, chunk_id LIMIT 10",
 )
 def q_hybrid(spark, d):
@@ -247,6 +271,14 @@ o AS (SELECT *, row_number() OVER (ORDER BY ds DESC, document_id, doc_rank) AS p
 )
 
 
+_RUN = """, run(i, used, closed, took) AS (
+  SELECT 0::BIGINT, 0, NULL::VARCHAR, false
+  UNION ALL SELECT run.i + 1, CASE WHEN o.document_id IS NOT DISTINCT FROM closed OR used + cost > 2000 THEN used ELSE used + cost END,
+    CASE WHEN o.document_id IS NOT DISTINCT FROM closed THEN closed WHEN used + cost > 2000 THEN o.document_id ELSE closed END,
+    NOT (o.document_id IS NOT DISTINCT FROM closed OR used + cost > 2000)
+  FROM run JOIN o ON o.position = run.i + 1)"""
+
+
 def _hits(spark, d):
     return search.search(table(spark, d, "index_rows"), QUERY, 60, "fts")
 
@@ -258,19 +290,23 @@ def q_context_order(spark, d):
 
 @vault.query(
     "context_sections",
-    _HITS + """, run(i, used, closed, took) AS (
-  SELECT 0::BIGINT, 0, NULL::VARCHAR, false
-  UNION ALL SELECT run.i + 1, CASE WHEN o.document_id IS NOT DISTINCT FROM closed OR used + cost > 2000 THEN used ELSE used + cost END,
-    CASE WHEN o.document_id IS NOT DISTINCT FROM closed THEN closed WHEN used + cost > 2000 THEN o.document_id ELSE closed END,
-    NOT (o.document_id IS NOT DISTINCT FROM closed OR used + cost > 2000)
-  FROM run JOIN o ON o.position = run.i + 1)
+    _HITS + _RUN + """
 SELECT row_number() OVER (ORDER BY position)::INTEGER AS section, document_id, chunk_id, cost FROM run JOIN o ON o.position = run.i WHERE took""",
 )
 def q_context(spark, d):
     return context.context_sections(_hits(spark, d)).select("section", "document_id", "chunk_id", "cost")
 
 
-@vault.query("context_package")
+_PACKAGE = f"""WITH RECURSIVE {_Q}, {_score_sql(6, "(SELECT DISTINCT * FROM index_rows)")}, h AS (SELECT *, text_score + 8 * {_COS} AS score FROM sc, (SELECT x AS q FROM qe)),
+hit AS (SELECT * FROM (SELECT chunk_id, document_id, title, path, content, tags, chunk_ordinal, max(score) AS score FROM h WHERE score > 0 GROUP BY ALL) ORDER BY score DESC, lower(title), title, path, chunk_ordinal, chunk_id LIMIT 12),
+""" + _HITS[_HITS.index("a AS (SELECT") :] + _RUN + """,
+sec AS (SELECT row_number() OVER (ORDER BY position) AS n, o.* FROM run JOIN o ON o.position = run.i WHERE took)
+SELECT count(*) AS n_sections, '# Context' || chr(10) || 'Query: """ + QUERY + """' || chr(10) || chr(10) || coalesce(string_agg('## ' || n || '. ' || coalesce(title, '') || chr(10) || 'Source: ' || coalesce(path, '') || chr(10)
+  || CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(list_transform(tags, lambda t: '#' || t), ' ') || chr(10) ELSE '' END || 'Score: ' || printf('%.3f', score) || chr(10) || 'Mode: hybrid' || chr(10) || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY n), 'No relevant context found.') AS content,
+  '""" + QUERY + """' AS query FROM sec"""
+
+
+@vault.query("context_package", _PACKAGE)
 def q_package(spark, d):
     hits = search.search(table(spark, d, "index_rows"), QUERY, 12)
     return context.render(context.context_sections(hits), QUERY)
@@ -296,6 +332,84 @@ def q_dup_semantic(spark, d):
     return dedupe.semantic_duplicates(table(spark, d, "index_rows"), "chunk_id", "embedding", 192)
 
 
+#: Notes as they stand in the table, each with its heading, and all their duplicates.
+_DUP = r"""WITH n AS (SELECT regexp_replace(replace(path, chr(92), '/'), '^\./', '') AS path, min({'title': coalesce(title, ''), 'content': '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '')}) AS n FROM vault_notes WHERE path IS NOT NULL GROUP BY 1),
+c AS (SELECT path, n.title AS title, n.content AS content, trim(regexp_replace(regexp_replace(n.content, '(?m)^---\n[\s\S]*?\n---\n?', ''), '(?m)^#\s+.+\n+', ''), chr(10) || chr(13) || chr(9) || ' ') AS strict FROM n),
+b AS (SELECT *, trim(regexp_replace(strict, '[\s\x0b\x{A0}]+', ' ', 'g')) AS body, sha256(strict) AS h FROM c),
+x AS (SELECT min(path) AS left_path, h FROM b GROUP BY h), exact AS (SELECT left_path, path AS right_path, 'exact' AS kind, 1.0::DOUBLE AS score FROM b JOIN x USING (h) WHERE path <> left_path),
+t AS (SELECT path AS id, title || chr(10) || body AS text FROM b), """ + embedded("e", "t") + r""",
+w AS (SELECT path, list_filter(list_transform(regexp_extract_all(title, '[\p{L}\p{N}_-]+'), lambda s: lower(s)), lambda s: length(s) > 2) AS tw, list_filter(list_transform(regexp_extract_all(body, '[\p{L}\p{N}_-]+'), lambda s: lower(s)), lambda s: length(s) > 2) AS bw FROM b),
+s AS (SELECT a.id AS left_path, z.id AS right_path, list_cosine_similarity(a.x, z.x) AS score FROM e a JOIN e z ON a.id < z.id WHERE list_cosine_similarity(a.x, z.x) >= 0.92),
+near AS (SELECT left_path, right_path, 'semantic' AS kind, round(score, 4) AS score FROM s JOIN w p ON p.path = left_path JOIN w q ON q.path = right_path
+  WHERE (score >= 0.975 OR list_has_any(p.tw, q.tw) OR list_has_any(p.bw, q.bw)) AND NOT EXISTS (SELECT 1 FROM exact z WHERE z.left_path = s.left_path AND z.right_path = s.right_path)),
+dup AS (SELECT * FROM exact UNION ALL SELECT * FROM near)
+"""
+
+
+def _plain_notes(spark, d):
+    title = F.coalesce("title", F.lit(""))
+    return table(spark, d, "vault_notes").select("path", "agent_id", "title", F.concat(F.lit("# "), title, F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("content"))
+
+
+@vault.query("duplicates", _DUP + "SELECT * FROM dup ORDER BY score DESC, left_path, right_path LIMIT 25")
+def q_duplicates(spark, d):
+    return dedupe.scan(_plain_notes(spark, d))
+
+
+@vault.query("duplicates_of_note", _DUP + "SELECT * FROM dup WHERE left_path = (SELECT min(left_path) FROM exact) OR right_path = (SELECT min(left_path) FROM exact)")
+def q_duplicates_of_note(spark, d):
+    """All duplicates of the first note that has an exact one."""
+    notes = _plain_notes(spark, d)
+    first = dedupe.exact_duplicates(notes.where("path IS NOT NULL")).agg(F.min("left_path")).first()[0]
+    return dedupe.scan(notes, focus=first or "", limit=1_000_000)
+
+
+_RESOLVE = _DUP + r""", pr AS (SELECT e.left_path, e.right_path, l.title AS lt, l.content AS lc, r.title AS rt, r.content AS rc, r.body AS rb FROM exact e JOIN b l ON l.path = left_path JOIN b r ON r.path = right_path),
+rel AS (SELECT *, CASE WHEN contains(regexp_replace(lower(lc), '\[\[\s*', '[[', 'g'), '[[' || lower(rt)) THEN lc ELSE rtrim(lc, chr(10) || chr(13) || chr(9) || ' ') || chr(10) || chr(10) || 'Related: [[' || rt || ']] priority: low #related-to' || chr(10) END AS l1,
+  CASE WHEN contains(regexp_replace(lower(rc), '\[\[\s*', '[[', 'g'), '[[' || lower(lt)) THEN rc ELSE rtrim(rc, chr(10) || chr(13) || chr(9) || ' ') || chr(10) || chr(10) || 'Related: [[' || lt || ']] priority: low #related-to' || chr(10) END AS r1 FROM pr),
+"""
+
+
+def _resolved(spark, d, action):
+    notes = _plain_notes(spark, d).where("path IS NOT NULL")
+    one = notes.groupBy("path").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), "content")).alias("n")).select("path", "n.*")
+    one = cut_lineage(one, "notes")
+    return dedupe.resolve(one, dedupe.exact_duplicates(one), action)
+
+
+_FIRST = "SELECT path, arg_min(content, (left_path, right_path)) AS content FROM ch GROUP BY 1"
+
+
+@vault.query("duplicates_link", _RESOLVE + "ch AS (SELECT left_path, right_path, left_path AS path, l1 AS content FROM rel UNION ALL SELECT left_path, right_path, right_path, r1 FROM rel) " + _FIRST)
+def q_duplicates_link(spark, d):
+    return _resolved(spark, d, "link")
+
+
+@vault.query("duplicates_ignore", _RESOLVE + "ch AS (SELECT left_path, right_path, left_path AS path, l1 AS content FROM rel) " + _FIRST)
+def q_duplicates_ignore(spark, d):
+    return _resolved(spark, d, "ignore")
+
+
+@vault.query(
+    "duplicates_merge",
+    _RESOLVE + """ch AS (SELECT left_path, right_path, left_path AS path, CASE WHEN contains(l1, '## Merged Memory From [[' || rt || ']]') THEN l1 ELSE rtrim(l1, chr(10) || chr(13) || chr(9) || ' ') || chr(10) || chr(10) || '## Merged Memory From [[' || rt || ']]' || chr(10) || chr(10) || rb || chr(10) END AS content FROM rel
+UNION ALL SELECT left_path, right_path, right_path, CASE WHEN contains(r1, 'Merged into [[' || lt || ']]') THEN r1 ELSE rtrim(r1, chr(10) || chr(13) || chr(9) || ' ') || chr(10) || chr(10) || 'Merged into [[' || lt || ']] priority: low #related-to' || chr(10) END FROM rel) """ + _FIRST,
+)
+def q_duplicates_merge(spark, d):
+    return _resolved(spark, d, "merge")
+
+
+@vault.query(
+    "vector_classes",
+    """WITH v AS (SELECT chunk_id AS id, min(embedding) AS x FROM index_rows WHERE len(embedding) = 192 AND chunk_id IS NOT NULL GROUP BY 1),
+u AS (SELECT * FROM v WHERE list_sum(list_transform(x, lambda e: abs(e))) > 0 AND NOT isnan(list_sum(x)) AND NOT isinf(list_sum(x))),
+c AS (SELECT x, min(id) AS class_id FROM u GROUP BY 1), k AS (SELECT a.class_id, count(*) AS n FROM c a JOIN c b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.x, b.x) >= 0.92 GROUP BY 1)
+SELECT id, class_id, coalesce(n, 0) AS n_links FROM u JOIN c USING (x) LEFT JOIN k USING (class_id)""",
+)
+def q_vector_classes(spark, d):
+    return dedupe.vector_classes(table(spark, d, "index_rows"), "chunk_id", "embedding", 192)
+
+
 @vault.query(
     "snapshot_changes",
     """WITH p AS (SELECT path, max(updated_at) AS m, arg_max(strlen(coalesce(content, '')), updated_at) AS s FROM vault_notes WHERE path IS NOT NULL AND created_at < '2026-03-01' AND updated_at < '2026-04-01' GROUP BY 1),
@@ -323,12 +437,26 @@ def q_migration(spark, d):
     return snapshots.migration_plan(notes, there)
 
 
-@vault.query("vault_checks", _V + _STATS + "SELECT 'documents' AS \"check\", documents > 0 AS ok, documents AS n FROM s UNION ALL SELECT 'broken-links', links = resolved_links, links - resolved_links FROM s")
+@vault.query("migration_counts", "SELECT kind, count(*) AS notes, sum(bytes)::BIGINT AS bytes FROM (" + vault.sql["migration_plan"] + ") GROUP BY 1")
+def q_migration_counts(spark, d):
+    return q_migration(spark, d).groupBy("kind").agg(F.count("*").alias("notes"), F.sum("bytes").alias("bytes"))
+
+
+@vault.query(
+    "vault_checks",
+    _V + _STATS + """SELECT 'vault' AS "check", true AS ok, 1::BIGINT AS n UNION ALL SELECT 'markdown-files', count(*) > 0, count(*) FROM note
+UNION ALL SELECT 'index', documents > 0, documents FROM s UNION ALL SELECT 'broken-links', links = resolved_links, links - resolved_links FROM s""",
+)
 def q_checks(spark, d):
-    return graph.checks(*_both(spark, d))
+    return graph.checks(*_both(spark, d), source.notes(spark, d))
 
 
-@vault.query("graph_signature")
+@vault.query(
+    "graph_signature",
+    _V + """, ns AS (SELECT count(*) AS nodes, coalesce(sum(('0x' || substr(sha256(concat(coalesce(id, ''), '|', coalesce(agent_id, ''), '|', coalesce(title, ''), '|', coalesce(path, ''))), 1, 15))::BIGINT), 0)::VARCHAR AS s FROM d),
+es AS (SELECT count(*) AS edges, coalesce(sum(('0x' || substr(sha256(concat(coalesce(from_document_id, ''), '|', coalesce(to_document_id, ''), '|', coalesce(to_title, ''), '|', weight, '|', priority)), 1, 15))::BIGINT), 0)::VARCHAR AS s FROM l)
+SELECT nodes, edges, sha256(concat(nodes, '|', ns.s, '|', edges, '|', es.s)) AS signature FROM ns, es""",
+)
 def q_signature(spark, d):
     return graph.signature(*_both(spark, d))
 

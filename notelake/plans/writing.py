@@ -4,27 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, documents, graph, layout, notes
+from ..operators import chunks, documents, graph, index, layout, notes, search
 from ..session import cut_lineage
 from ..sources import packs
 from ..sources import vault as source
 from ..sources.tables import table
 from .registry import Registry
-from .vault import _V, _both
+from .sql import embedded
+from .vault import _V, QUERY, _both, _score_sql
 
 writing = Registry()
 
 
-@writing.query("chunks")
+_WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def chunked(name: str, source: str, most: int) -> str:
+    """CTEs that end in ``name`` (document_id, ordinal, content): source(id, text) cut into chunks, stated in SQL."""
+    trim = lambda x: f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+    units = lambda x: f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+    item = lambda x: f"{{'done': []::VARCHAR[], 'cur': {x}, 'n': {units(x)}}}"
+
+    def pack(xs: str, glue: str, width: int) -> str:
+        join = f"CASE WHEN a.n + {width} + x.n <= {most} THEN {{'done': a.done, 'cur': a.cur || {glue} || x.cur, 'n': a.n + {width} + x.n}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur, 'n': x.n}} END"
+        return f"list_reduce(list_transform({xs}, lambda one: {item('one')}), lambda a, x: {join})"
+
+    return rf"""{name}_t AS (SELECT id, {trim("regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '^---\n([\\s\\S]*?)\n---\n?', ''), chr(10)), lambda s: " + trim("s") + r"), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM {source}),
+{name}_p AS (SELECT id, list_filter(regexp_split_to_array(t, '\n{{2,}}'), lambda p: p <> '') AS ps FROM {name}_t),
+{name}_q AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM {name}_p WHERE len(ps) > 0),
+{name}_s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(p, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {trim("x")}), lambda x: x <> '') AS ss FROM {name}_q),
+{name}_r AS (SELECT id, i, CASE WHEN {units("p")} <= {most} THEN {{'done': []::VARCHAR[], 'cur': p, 'n': {units("p")}}} WHEN len(ss) > 1 THEN {pack("ss", "' '", 1)} END AS r, p FROM {name}_s),
+{name}_u AS (SELECT id, i, CASE WHEN r IS NOT NULL THEN list_append(r.done, r.cur) ELSE list_filter(list_transform(range(0, (length(p) + {most} - 1) // {most}), lambda k: {trim(f"substr(p, k * {most} + 1, {most})")}), lambda x: x <> '') END AS parts FROM {name}_r),
+{name}_a AS (SELECT id, flatten(list(parts ORDER BY i)) AS parts FROM {name}_u GROUP BY 1),
+{name}_k AS (SELECT id, {pack("parts", "chr(10) || chr(10)", 2)} AS r FROM {name}_a WHERE len(parts) > 0),
+{name} AS (SELECT id AS document_id, unnest(list_append(r.done, r.cur)) AS content, (generate_subscripts(list_append(r.done, r.cur), 1) - 1)::INTEGER AS ordinal FROM {name}_k)"""
+
+
+_TEXTS = _V + ", tx AS (SELECT id, content AS text FROM d), "
+_CHUNK_ID = "substr(sha256(k.document_id || ':' || k.ordinal || ':' || k.content), 1, 24)"
+
+
+@writing.query("chunks", _TEXTS + chunked("k", "tx", 600) + rf" SELECT {_CHUNK_ID} AS id, document_id, ordinal, content, ceil(length(trim(regexp_replace(content, '[\s\x0b\x{{A0}}]+', ' ', 'g'))) / 4)::INTEGER AS token_count FROM k")
 def q_chunks(spark, d):
     docs = documents.documents(source.written(source.notes(spark, d)))
     return chunks.chunks(docs, 600)
 
 
-@writing.query("chunk_embeddings")
+@writing.query(
+    "chunk_embeddings",
+    _TEXTS + chunked("k", "tx", 1200) + f", kx AS (SELECT {_CHUNK_ID} AS id, content AS text FROM k), " + embedded("e", "kx")
+    + f" SELECT e.id, document_id, ordinal, (i - 1)::INTEGER AS dimension, round(x[i], 6) AS value FROM e JOIN k ON {_CHUNK_ID} = e.id, range(1, 193) r(i) WHERE x[i] <> 0",
+)
 def q_chunk_embeddings(spark, d):
+    """The entries other than zero of each chunk's vector."""
     docs = documents.documents(source.written(source.notes(spark, d)))
-    return chunks.chunks(docs, embed=True).select("id", "document_id", "ordinal", "embedding")
+    made = chunks.chunks(docs, embed=True).select("id", "document_id", "ordinal", F.posexplode("embedding").alias("dimension", "value"))
+    return made.where("value <> 0").withColumn("value", F.round("value", 6))
 
 
 #: Every 31st document gets a made-up assignment, as the texts hold few of their own.
@@ -65,24 +100,32 @@ def q_legacy_tags(spark, d):
     return table(spark, d, "legacy_notes").select("id", F.explode(notes.legacy_tags(F.col("tags"))).alias("tag"))
 
 
+#: Paths reserved row by row in the order of ids: the first free one of slug, slug-2, slug-3 and so on.
+_LEGACY = r"""WITH RECURSIVE b0 AS (SELECT id, content, coalesce(nullif(trim(title), ''), nullif(trim(regexp_replace(regexp_replace(regexp_extract(trim(coalesce(path, '')), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), '[-_]+', ' ', 'g')), ''), 'Imported Memory ' || id) AS title,
+  coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(coalesce(agent, ''))), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'shared') AS agent_id FROM legacy_notes WHERE trim(content) <> ''),
+s0 AS (SELECT *, 'agents/' || agent_id || '/' || coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS base FROM b0),
+s AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM s0),
+walk(k, used, path) AS (SELECT 0::BIGINT, list(DISTINCT path), '' FROM vault_notes
+  UNION ALL SELECT k, list_append(used, path), path FROM (SELECT s.k, used, s.base || coalesce('-' || nullif((SELECT min(i) FROM range(1, 1000) r(i) WHERE NOT list_contains(used, s.base || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.md')), 1), '') || '.md' AS path FROM walk JOIN s ON s.k = walk.k + 1)),
+p AS (SELECT id AS row_id, agent_id, title, walk.path, content FROM s JOIN walk USING (k))
+"""
+
+
 @writing.query("legacy_import")
 def q_legacy_import(spark, d):
     return notes.import_legacy(table(spark, d, "legacy_notes"), table(spark, d, "vault_notes").select("path").distinct())
 
 
-@writing.query(
-    "legacy_paths",
-    r"""WITH b AS (SELECT id, coalesce(nullif(trim(title), ''), nullif(trim(regexp_replace(regexp_replace(regexp_extract(trim(coalesce(path, '')), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), '[-_]+', ' ', 'g')), ''), 'Imported Memory ' || id) AS title,
-  coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(coalesce(agent, ''))), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'shared') AS agent_id FROM legacy_notes WHERE trim(content) <> ''),
-s AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS slug FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY agent_id, slug ORDER BY id) AS n FROM s)
-SELECT id AS row_id, agent_id, title, 'agents/' || agent_id || '/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS path FROM r""",
-)
+@writing.query("legacy_paths", _LEGACY + "SELECT row_id, agent_id, title, path FROM p")
 def q_legacy_paths(spark, d):
-    return notes.import_legacy(table(spark, d, "legacy_notes")).drop("content")
+    return notes.import_legacy(table(spark, d, "legacy_notes"), table(spark, d, "vault_notes").select("path").distinct()).drop("content")
 
 
-@writing.query("pack_report")
+@writing.query(
+    "pack_report",
+    """WITH p AS (SELECT *, (row_number() OVER (ORDER BY agent_id NULLS FIRST, document_id NULLS FIRST, chunk_ordinal NULLS FIRST, chunk_id NULLS FIRST) - 1) // 500 AS pack FROM (SELECT DISTINCT document_id, agent_id, title, path, chunk_id, chunk_ordinal, content, tags FROM pack_rows))
+SELECT pack::INTEGER AS pack, count(*) AS n, count(DISTINCT document_id) AS documents, list_sort(list_distinct(list(agent_id))) AS agents, sum(strlen(coalesce(content, '')))::BIGINT AS bytes FROM p GROUP BY 1""",
+)
 def q_pack_report(spark, d):
     return packs.report(packs.numbered(table(spark, d, "pack_rows"), 500))
 
@@ -144,6 +187,13 @@ def q_edge_budget(spark, d):
     return layout.edge_budget(_both(spark, d)[1], 900)
 
 
+@writing.query("compact_edges", _V + "SELECT from_document_id, to_document_id, to_title, weight, priority FROM l WHERE to_document_id IS NOT NULL")
+def q_compact_edges(spark, d):
+    """All resolved links as long as the graph is small; the SQL holds up to the first limit."""
+    docs, links = _both(spark, d)
+    return layout.edge_budget(links, layout.edge_limit(docs.count()))
+
+
 def _points(spark, d):
     """The given vectors' first two entries as places, their label as degree."""
     e = table(spark, d, "embeddings")
@@ -206,3 +256,57 @@ def q_cluster_edges(spark, d):
     clusters = cut_lineage(layout.buckets(nodes).select("id", F.col("bucket_60").alias("cluster")), "clusters")
     edges = links.where("to_document_id IS NOT NULL").select(F.col("from_document_id").alias("a"), F.col("to_document_id").alias("b"), "weight")
     return layout.cluster_edges(clusters, edges)
+
+
+#: The second run finds the vault as it is, the first found the rows updated before April.
+_RUNS = _V + """, a1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, path, content NULLS FIRST) AS rn FROM n0 WHERE id IS NOT NULL AND path IS NOT NULL AND updated_at < '2026-04-01'),
+was AS (SELECT path, updated_at, strlen(coalesce(content, '')) + strlen(coalesce(title, '')) AS size FROM a1 WHERE rn = 1), cur AS (SELECT path, updated_at FROM note),
+ch AS (SELECT cur.path FROM cur LEFT JOIN was USING (path) WHERE was.path IS NULL OR was.updated_at IS DISTINCT FROM cur.updated_at)
+"""
+
+
+def _index(spark, d):
+    """Two runs over a growing vault; the counts of the second and the index."""
+    rows = source.rows(spark, d)
+    built = index.VaultIndex.new(spark)
+    built.run(source.written(source.latest(rows.where("updated_at < '2026-04-01'"))))
+    return built.run(source.written(source.latest(rows))), built
+
+
+@writing.query(
+    "index_run",
+    _RUNS + "SELECT (SELECT count(*) FROM d) AS n_documents, (SELECT count(*) FROM l) AS n_links, (SELECT count(*) FROM ch) AS n_changed, (SELECT count(*) FROM was WHERE path NOT IN (SELECT path FROM cur)) AS n_deleted",
+)
+def q_index_run(spark, d):
+    return _index(spark, d)[0].select("n_documents", "n_links", "n_changed", "n_deleted")
+
+
+@writing.query("index_links", _V + "SELECT * FROM l")
+def q_index_links(spark, d):
+    """Links of changed and unchanged documents alike, as the second run resolved them."""
+    return _index(spark, d)[1].read("links")
+
+
+@writing.query("index_rows_built", _TEXTS + chunked("k", "tx", 1200) + f" SELECT {_CHUNK_ID} AS chunk_id, document_id, agent_id, title, path, ordinal AS chunk_ordinal, k.content FROM k JOIN d ON d.id = document_id")
+def q_index_rows(spark, d):
+    return _index(spark, d)[1].rows().select("chunk_id", "document_id", "agent_id", "title", "path", "chunk_ordinal", "content")
+
+
+@writing.query(
+    "index_nested",
+    _TEXTS + chunked("k", "tx", 1200)
+    + """, kc AS (SELECT document_id, count(*) AS n, max(ordinal) AS top FROM k GROUP BY 1), lc AS (SELECT from_document_id AS id, count(*) AS n, min(to_title) AS first FROM l GROUP BY 1)
+SELECT d.id AS document_id, d.path, coalesce(kc.n, 0) AS n_chunks, kc.top AS last_ordinal, coalesce(lc.n, 0) AS n_links, lc.first AS first_link FROM d LEFT JOIN kc ON kc.document_id = d.id LEFT JOIN lc ON lc.id = d.id""",
+)
+def q_index_nested(spark, d):
+    """What the nested rows hold: numbers of chunks and links, the last ordinal, the first title."""
+    n = _index(spark, d)[1].nested()
+    last, first = F.get("chunks", F.size("chunks") - 1)["ordinal"], F.get("links", F.lit(0))["to_title"]
+    return n.select("document_id", "path", F.size("chunks").cast("bigint").alias("n_chunks"), last.alias("last_ordinal"), F.size("links").cast("bigint").alias("n_links"), first.alias("first_link"))
+
+
+@writing.query("index_search", _TEXTS + chunked("k", "tx", 1200) + f""", kd AS (SELECT {_CHUNK_ID} AS chunk_id, document_id, ordinal AS chunk_ordinal, k.content, title, path, tags FROM k JOIN d ON d.id = document_id), """
+    + _score_sql(6, "kd") + " SELECT chunk_id, document_id, text_score::DOUBLE AS score FROM sc WHERE text_score > 0 ORDER BY score DESC, lower(title), title, path, chunk_ordinal, chunk_id LIMIT 15")
+def q_index_search(spark, d):
+    """A search of the chunks that the index was built with."""
+    return search.search(_index(spark, d)[1].rows(), QUERY, 15, "fts").select("chunk_id", "document_id", "score")

@@ -1,8 +1,7 @@
-"""Search packs: chunk rows in files of bounded size, with a report and a token filter per pack.
+"""Search packs: chunk rows in files of bounded size, with a report per pack.
 
-Parquet takes the place of a private row format: column pruning, statistics and compression come with it. The filter is a
-small bit set per pack; a search may skip a pack only for whole-token queries, because text search matches parts of
-words, so skipping is a choice of the caller and never changes which whole tokens are found.
+Parquet takes the place of a private row format: column pruning, statistics, compression and, where wanted, Bloom filters
+come with it.
 """
 
 from __future__ import annotations
@@ -11,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_PACK = 5000
-FILTER_BITS = 2048
-#: Start values of the three hash functions of a pack's filter.
-SEEDS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 COLUMNS = ["document_id", "agent_id", "title", "path", "chunk_id", "chunk_ordinal", "content", "tags"]
 
 
@@ -25,50 +21,14 @@ def numbered(rows: DataFrame, rows_per_pack: int = ROWS_PER_PACK) -> DataFrame:
     return ranked.withColumn("pack", F.floor((F.col("rank") - 1) / rows_per_pack).cast("int")).drop("_all", "rank")
 
 
-def tokens(df: DataFrame) -> DataFrame:
-    """pack, token: the distinct folded tokens of each pack."""
-    from ..functions.text import fold
-
-    text = F.concat_ws(" ", "title", "path", F.array_join("tags", " "), "content")
-    found = F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_\-]{2,}"), F.lit(0))
-    return df.select("pack", F.explode(F.array_distinct(found)).alias("token")).distinct()
-
-
-def token_filter(df: DataFrame) -> DataFrame:
-    """pack, bits: the sorted bit numbers (of FILTER_BITS) that the pack's tokens set; at most FILTER_BITS a pack."""
-    codes = F.filter(F.split("token", ""), lambda c: c != "")
-    bit = lambda seed: F.aggregate(
-        codes, F.lit(seed).cast("bigint"), lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(16777619), F.lit(2**32))
-    ) % FILTER_BITS
-    set_ = tokens(df).select("pack", F.explode(F.array(*(bit(s) for s in SEEDS))).alias("bit")).distinct()
-    return set_.groupBy("pack").agg(F.sort_array(F.collect_list(F.col("bit").cast("int"))).alias("bits"))
-
-
-def may_contain(filters: DataFrame, words: list[str]) -> DataFrame:
-    """The packs that may hold every whole token given."""
-
-    def bits(word: str) -> list[int]:
-        out = []
-        for seed in SEEDS:
-            h = seed
-            for c in word:
-                h = ((h ^ ord(c)) * 16777619) % 2**32
-            out.append(h % FILTER_BITS)
-        return out
-
-    need = sorted({b for w in words for b in bits(w)})
-    return filters.where(F.size(F.array_except(F.array(*(F.lit(b) for b in need)), "bits")) == 0).select("pack") if need else filters.select("pack")
-
-
 def report(df: DataFrame) -> DataFrame:
-    """pack, n, documents, agents, bytes, filter_bits of numbered rows."""
-    by = df.groupBy("pack").agg(
+    """pack, n, documents, agents, bytes of numbered rows."""
+    return df.groupBy("pack").agg(
         F.count("*").alias("n"),
         F.count_distinct("document_id").alias("documents"),
         F.sort_array(F.collect_set("agent_id")).alias("agents"),
         F.sum(F.octet_length(F.coalesce("content", F.lit("")))).alias("bytes"),
     )
-    return by.join(token_filter(df).select("pack", F.size("bits").alias("filter_bits")), "pack", "left")
 
 
 def write(df: DataFrame, path: str) -> None:

@@ -16,10 +16,15 @@ from .tables import table
 COLUMNS = ["id", "agent_id", "title", "path", "content", "tags", "links", "created_at", "updated_at"]
 
 
+def rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of vault_notes and hub_notes."""
+    both = [table(spark, folder, t).select(*COLUMNS) for t in ("vault_notes", "hub_notes")]
+    return both[0].unionByName(both[1])
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """The latest row of each note of vault_notes and hub_notes."""
-    rows = [table(spark, folder, t).select(*COLUMNS) for t in ("vault_notes", "hub_notes")]
-    return latest(rows[0].unionByName(rows[1]))
+    return latest(rows(spark, folder))
 
 
 def written(df: DataFrame) -> DataFrame:

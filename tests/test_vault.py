@@ -1,12 +1,14 @@
 """Documents, links, graph, search, context, duplicates on small vaults."""
 
 import random
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions.embed import embed, features
 from notelake.functions.text import query_tokens
-from notelake.operators import chunks, context, dedupe, documents, graph, layout, notes, search, snapshots
+from notelake.operators import chunks, context, dedupe, documents, graph, index, layout, notes, search, snapshots
 from notelake.operators.documents import BOOST, MAX_WEIGHT, RANK
 
 NOTE = "path string, content string, created_at timestamp, updated_at timestamp"
@@ -131,6 +133,69 @@ def test_duplicates(spark):
     assert got == want and len(want) > 30
 
 
+def test_vector_classes_keep_links_of_large_classes(spark):
+    rows = [(f"a{i:02}", [1.0, 2.0, 3.0]) for i in range(20)] + [("b", [1.0, 2.0, 3.1]), ("c", [3.0, -1.0, 0.0]), ("z", [0.0] * 3), ("n", None)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    pairs = {(r.left_id, r.right_id) for r in dedupe.semantic_duplicates(df, "id", "v", 3, all_pairs_up_to=5).collect()}
+    assert pairs == {("a00", f"a{i:02}") for i in range(1, 20)} | {("a00", "b")}
+    got = {r.id: (r.class_id, r.n_links) for r in dedupe.vector_classes(df, "id", "v", 3).collect()}
+    assert got == {f"a{i:02}": ("a00", 1) for i in range(20)} | {"b": ("b", 1), "c": ("c", 0)}
+
+
+def test_scan_of_notes(spark):
+    body = "the token is checked before the session starts and again after the cache was dropped"
+    rows = [("b.md", "a", "Auth", body), ("a\\c.md", "a", "Auth", body), ("d.md", "a", "Auth checks", body + " twice"), ("e.md", "b", None, None), ("f.md", "b", "", ""), ("x.md", "b", "Zq", "wholly different matter"), (None, "b", "n", "n")]
+    docs = spark.createDataFrame(rows, "path string, agent_id string, title string, content string")
+    got = [(r.left_path, r.right_path, r.kind) for r in dedupe.scan(docs).collect()]
+    assert got == [("a/c.md", "b.md", "exact"), ("e.md", "f.md", "exact"), ("a/c.md", "d.md", "semantic"), ("b.md", "d.md", "semantic")]
+    assert [r.right_path for r in dedupe.scan(docs, focus="e.md").collect()] == ["f.md"] and dedupe.scan(docs, limit=0).count() == 1
+    assert dedupe.scan(docs, agent="b", semantic=False).count() == 1 and dedupe.scan(docs.limit(0)).count() == 0
+    words = spark.createDataFrame([("One two", "TWO three", True), ("a of", "a of", False), (None, "x", False)], "a string, b string, w boolean")
+    assert all(r.w == r.g for r in words.select("w", F.coalesce(dedupe.shared_words(F.col("a"), F.col("b")), F.lit(False)).alias("g")).collect())
+
+
+def test_resolving_duplicates(spark):
+    docs = spark.createDataFrame([("l.md", "Left", "# Left\n\nleft body\n\n"), ("r.md", "Right", "---\na: b\n---\n# Right\n\nright\n  body"), ("o.md", "Other", "o")], "path string, title string, content string")
+    pair = spark.createDataFrame([("l.md", "r.md")], "left_path string, right_path string")
+    run = lambda action: {r.path: r.content for r in dedupe.resolve(docs, pair, action).collect()}
+    left = "# Left\n\nleft body\n\nRelated: [[Right]] priority: low #related-to\n"
+    right = "---\na: b\n---\n# Right\n\nright\n  body\n\nRelated: [[Left]] priority: low #related-to\n"
+    assert run("link") == {"l.md": left, "r.md": right} and run("ignore") == {"l.md": left}
+    assert run("merge") == {
+        "l.md": left.rstrip() + "\n\n## Merged Memory From [[Right]]\n\nright body\n",
+        "r.md": right.rstrip() + "\n\nMerged into [[Left]] priority: low #related-to\n",
+    }
+    for bad in (("l.md", "l.md"), ("l.md", "no.md")):
+        with pytest.raises(Exception, match="two different notes"):
+            dedupe.resolve(docs, spark.createDataFrame([bad], "left_path string, right_path string"), "link").collect()
+    with pytest.raises(ValueError):
+        dedupe.resolve(docs, pair, "delete")
+
+
+def test_index_runs(spark):
+    note = lambda path, text, day: (path, text, None, datetime(2025, 1, day))
+    df = lambda *rows: spark.createDataFrame(list(rows), "path string, content string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    ix = index.VaultIndex.new(spark)
+    a, b, c = note("a.md", "# A\n\nsee [[C]] #t", 1), note("b.md", "# B\n\n[[A]]", 1), note("c.md", "# C\n\nlast", 2)
+    first = ix.run(df(a, a, b, (None, "x", None, None))).first()
+    assert (first.n_documents, first.n_chunks, first.n_links, first.n_changed, first.packs_due) == (2, 2, 2, 2, True)
+    target = lambda: {(r.to_title, r.to_document_id is not None) for r in ix.read("links").collect()}
+    assert target() == {("C", False), ("A", True)}
+    old = {r.path: r.id for r in ix.read("documents").collect()}
+    second = ix.run(df(a, b, c)).first()
+    assert (second.n_documents, second.n_changed, second.n_deleted) == (3, 1, 0) and target() == {("C", True), ("A", True)}  # a.md did not change, its link did
+    still = ix.run(df(a, b, c)).first()
+    assert (still.v, still.n_changed, still.n_chunks) == (2, 0, 3)
+    third = ix.run(df(note("a.md", "# A\n\nnew", 3), c)).first()
+    assert (third.n_documents, third.n_chunks, third.n_links, third.n_changed, third.n_deleted) == (2, 2, 0, 1, 1)
+    assert {r.content for r in ix.read("chunks").collect()} == {"# A\n\nnew", "# C\n\nlast"} and old["a.md"] in {r.document_id for r in ix.rows().collect()}
+    again = ix.run(df(note("a.md", "# A\n\nnew", 3), c), max_characters=4).first()
+    assert again.n_changed == 2 and again.n_chunks > 2
+    nested = {r.path: r for r in ix.nested().collect()}
+    assert [x.ordinal for x in nested["a.md"].chunks] == list(range(len(nested["a.md"].chunks))) and nested["a.md"].links == []
+    assert ix.run(df()).first().n_documents == 0
+
+
 def test_chunks(spark):
     text = "# H\n\n" + " ".join(f"Sentence number {i} stands here." for i in range(180))
     assert all(len(c) <= 160 for c in chunks.split_text(text, 160)) and len(chunks.split_text(text, 160)) > 1
@@ -191,6 +256,7 @@ def test_layout(spark):
     assert layout.near_pairs(after, 60.0).count() <= before
     assert layout.primary_hub(nodes).first().id == "n00"
     assert layout.edge_budget(e, 10).count() == 10
+    assert [layout.edge_limit(n) for n in (0, 25_000, 25_001, 50_001, 100_001)] == [60_000, 60_000, 30_000, 22_000, 15_000]
     rank = layout.rank_within(spark.range(1000).selectExpr("id", "id % 2 AS g"), ["g"], [F.desc("id")])
     assert {(r.g, r["rank"]) for r in rank.collect()} == {(g, i) for g in (0, 1) for i in range(1, 501)}
     assert spark.range(1).select(layout.text_hash(F.lit("hello world"))).first()[0] == 1794106052
@@ -226,7 +292,13 @@ def test_legacy_paths_are_unique(spark):
 def test_checks_signature_filter_storage(spark):
     docs = spark.createDataFrame([("a", "s", "Backlink map", "a.md", ["x"]), ("b", "s", "B", "backlink/b.md", None), ("c", "s", None, "c.md", [])], "id string, agent_id string, title string, path string, tags array<string>")
     links = spark.createDataFrame([("a", "B", "b", 1, "normal"), ("b", "No", None, 1, "low")], "from_document_id string, to_title string, to_document_id string, weight int, priority string")
-    assert {(r["check"], r.ok, r.n) for r in graph.checks(docs, links).collect()} == {("documents", True, 3), ("broken-links", False, 1)}
+    assert {(r["check"], r.ok, r.n) for r in graph.checks(docs, links).collect()} == {("vault", True, 1), ("markdown-files", True, 3), ("index", True, 3), ("broken-links", False, 1)}
+    assert [r.ok for r in graph.checks(docs.limit(0), links.limit(0)).orderBy("check").collect()] == [True, False, False, True]
+    assert [r.from_title for r in graph.listed_links(docs, links, 5).collect()] == ["B", "Backlink map"] and graph.listed_links(docs, links, 0).count() == 0
+    texts = docs.withColumn("content", F.lit("text"))
+    assert graph.node(texts, "a", "s").first().title == "Backlink map" and graph.node(texts, "a", "t").count() == 0
+    assert {(r.source, r.target) for r in graph.summary_edges(docs, links, "s").collect()} == {("a", "b"), ("b", None)} and graph.summary_nodes(docs, "t").count() == 0
+    assert [(r.tag, r.documents) for r in graph.tag_counts(docs).collect()] == [("x", 1)]
     one = graph.signature(docs, links).first().signature
     assert one == graph.signature(docs.orderBy(F.desc("id")), links).first().signature
     assert one != graph.signature(docs, links.limit(1)).first().signature
