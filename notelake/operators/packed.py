@@ -4,19 +4,23 @@ The grammar, with ordered alternatives tried at each place of the string (first
 given back before the next is tried):
 
     field   <- (value / noise)*
-    value   <- quoted / bare
+    value   <- quoted / bracketed / bare
     quoted  <- open body close        for each kind of mark; body may hold doubled or backslashed marks
+    bracketed <- "(" (value / noise)* ")"    likewise with [ ] and { }: its values are values of the field
     bare    <- sign* alnum (alnum / sign)*   taken whole, so a mark inside a run of letters opens nothing
     malformed quote  <- open          no close follows: the mark is given back as noise and its text is read as bare
-    bracket, separator, any other character  <- noise
+    malformed bracket  <- "(" / ")"   without its other half: given back as noise, the values around it stay
+    separator, any other character  <- noise
 
 Java's regular expressions are exactly this - ordered choice with backtracking - so the grammar is one pattern and the
-work is ``regexp_extract_all`` and ``posexplode`` inside the JVM. A closing mark must be followed by the end, white
-space, a separator or a bracket; a mark that is not closed like that is malformed.
+work is ``regexp_extract_all`` and ``posexplode`` inside the JVM; brackets come out as tokens, and how deep a value lies is
+the balance of those before it. A closing mark must be followed by the end, white space, a separator or a bracket; a
+mark that is not closed like that is malformed.
 
 Defined results: a null, empty or blank field, and one without any value, gives no row; repeated values keep their own
 places; a quoted value that is blank inside takes no place; ``malformed`` is true on every value of a field in which a
-quotation mark had to be given back. Columns of the input other than the key and the field do not matter.
+quotation mark had to be given back, ``unbalanced`` where the brackets do not match in number or order (kinds of brackets
+are not told apart); then ``bracketed`` goes by the balance alone. Other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import sums_before
 from ..functions.text import SPACE, strip
 
 #: Opening and closing quotation marks.
 MARKS = (('"', '"'), ("'", "'"), ("`", "`"), ("“", "”"), ("‘", "’"), ("«", "»"), ("„", "“"), ("「", "」"))
+OPEN, SHUT = "([{", ")]}"
 ALNUM = r"[\p{L}\p{M}\p{N}]"
 
 
@@ -64,7 +70,8 @@ def grammar(signs: str) -> str:
     signs_only = f"|[{inside}]++" if inside else ""
     bare = f"[{inside}]*+{ALNUM}{run}*+" if inside else f"{ALNUM}++"
     marks = "".join(a for a, _ in MARKS)
-    return f"(?s)(?<!{run})(?:{'|'.join(quoted)})|{bare}{signs_only}|[{marks}]"
+    brackets = re.sub(r"([\[\]])", r"\\\1", OPEN + SHUT)
+    return f"(?s)(?<!{run})(?:{'|'.join(quoted)})|{bare}{signs_only}|[{brackets}]|[{marks}]"
 
 
 def _is_quoted(c: Column) -> Column:
@@ -85,14 +92,24 @@ def unquote(c: Column) -> Column:
 
 
 def unpack(df: DataFrame, key: str, field: str, signs: str) -> DataFrame:
-    """One row per value of df.field: key, pos (from 1), tag, malformed."""
-    found = F.regexp_extract_all(F.col(field), F.lit(grammar(signs)), F.lit(0))
+    """One row per value of df.field: key, pos (from 1), tag, quoted, bracketed, malformed, unbalanced."""
     marks = [a for a, _ in MARKS]
-    real = F.filter("found", lambda v: _is_quoted(v) | v.rlike(ALNUM))
-    values = F.filter(F.transform(real, unquote), lambda v: v != "")
+    turn = lambda v: F.when(v.isin(*OPEN), 1).when(v.isin(*SHUT), -1).otherwise(0).cast("bigint")
+    depth = sums_before(F.transform("found", turn))
+    tokens = F.zip_with("found", "depth", lambda v, d: F.struct(v.alias("v"), d.alias("d")))
+    real = F.filter(tokens, lambda t: _is_quoted(t["v"]) | t["v"].rlike(ALNUM))
+    values = F.transform(real, lambda t: F.struct(unquote(t["v"]).alias("tag"), _is_quoted(t["v"]).alias("quoted"), (t["d"] > 0).alias("bracketed")))
+    uneven = F.exists("depth", lambda d: d < 0) | (F.get("depth", F.size("depth") - 1) + turn(F.get("found", F.size("found") - 1)) != 0)
     return (
         df.where(F.col(field).isNotNull())
-        .select(F.col(key), found.alias("found"))
-        .select(F.col(key), F.exists("found", lambda v: v.isin(marks)).alias("malformed"), F.posexplode(values).alias("p", "tag"))
-        .select(F.col(key), (F.col("p") + 1).cast("int").alias("pos"), "tag", "malformed")
+        .select(F.col(key), F.regexp_extract_all(F.col(field), F.lit(grammar(signs)), F.lit(0)).alias("found"))
+        .where(F.size("found") > 0)
+        .select(key, "found", depth.alias("depth"))
+        .select(
+            key,
+            F.exists("found", lambda v: v.isin(marks)).alias("malformed"),
+            uneven.alias("unbalanced"),
+            F.posexplode(F.filter(values, lambda x: x["tag"] != "")).alias("p", "x"),
+        )
+        .select(key, (F.col("p") + 1).cast("int").alias("pos"), "x.tag", "x.quoted", "x.bracketed", "malformed", "unbalanced")
     )

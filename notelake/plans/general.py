@@ -83,3 +83,19 @@ SELECT DISTINCT id, unnest(generate_series(1, len(xs)))::INTEGER AS pos, unnest(
 @general.query("p2_found", _P2)
 def p2_found(spark, d):
     return _p2(spark, d).select("id", "pos", "tag").distinct()
+
+
+#: Values with their flags: brackets are tokens too, a mark that no value takes is malformed.
+_P2_VALUES = _P2[: _P2.index("m AS (SELECT DISTINCT id,")] + r"""r AS (SELECT '"(?:\\.|""|[^"\\])*"|''(?:\\.|''''|[^''\\])*''|`[^`]*`|“[^”]*”|‘[^’]*’|[\p{L}\p{M}\p{N}' || signs || ']*[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}' || signs || ']*|[\[\](){}]' AS r FROM s),
+m AS (SELECT DISTINCT id, tags, regexp_extract_all(tags, r) AS xs, regexp_matches(regexp_replace(tags, r, '', 'g'), '["''`“‘«„「]') AS malformed FROM legacy_notes, r WHERE tags IS NOT NULL),
+d AS (SELECT *, list_transform(xs, lambda x, i: len(list_filter(xs[1:i], lambda y: y IN ('(', '[', '{'))) - len(list_filter(xs[1:i], lambda y: y IN (')', ']', '}')))) AS ds FROM m),
+v AS (SELECT id, malformed, coalesce(list_min(ds) < 0 OR ds[-1] <> 0, false) AS unbalanced, list_filter(list_transform(xs, lambda x, i: {'quoted': regexp_matches(x, '^["''`“‘]'), 'bracketed': ds[i] > 0, 'tag': trim(CASE
+  WHEN x LIKE '"%"' THEN replace(replace(x[2:-2], chr(92) || '"', '"'), '""', '"') WHEN x LIKE '''%''' THEN replace(replace(x[2:-2], chr(92) || '''', ''''), '''''', '''')
+  WHEN regexp_matches(x, '^[`“‘]') THEN x[2:-2] WHEN regexp_matches(x, '^[\[\](){}]$') THEN '' ELSE x END)}), lambda t: t.tag <> '') AS vs FROM d)
+SELECT DISTINCT id, pos::INTEGER AS pos, t.tag AS tag, t.quoted AS quoted, t.bracketed AS bracketed, malformed, unbalanced FROM (SELECT id, malformed, unbalanced, unnest(vs) AS t, generate_subscripts(vs, 1) AS pos FROM v)"""
+
+
+@general.query("p2_values", _P2_VALUES)
+def p2_values(spark, d):
+    """Every value with its place and flags: quoted, bracketed, in a field with a malformed quotation or uneven brackets."""
+    return _p2(spark, d).distinct()

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+LOCAL = "file://" + os.path.join(tempfile.gettempdir(), "notelake-shared")
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,7 +23,7 @@ DEFAULTS = {
 def build(master: str = "local[8]", app: str = "notelake", **conf: str) -> SparkSession:
     """A session for local runs and tests; a cluster passes its own session to the operators."""
     builder = SparkSession.builder.master(master).appName(app)
-    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
+    for key, value in {**DEFAULTS, "spark.checkpoint.dir": LOCAL, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,15 +44,41 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir.
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The application's own folder below the shared one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder takes its place.
+    Only where that setting is absent (a session that was not made by ``build``) a local temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "notelake-shared")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
+    return f"{base.rstrip('/')}/notelake-{spark.sparkContext.applicationId}"
+
+
+_made: set[str] = set()
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder that all executors share; it goes when the application ends, or with ``clear``."""
+    root = _scratch(spark)
+    if root not in _made:
+        _made.add(root)
+        fs, where = _filesystem(spark, root)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what the queries so far have written on the way; frames that read it must not be used any more."""
+    root = _scratch(spark)
+    if root in _made:
+        fs, where = _filesystem(spark, root)
+        fs.delete(where, True)
+        fs.mkdirs(where)
 
 
 def cut_lineage(df, what: str):

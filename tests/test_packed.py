@@ -1,6 +1,9 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from notelake.functions.arrays import sums_before
 from notelake.operators import packed
 
 SIGNS = "'+-./_"
@@ -51,6 +54,28 @@ def test_nulls_signs_and_malformed(spark):
     assert values(spark, ["a,b"]) == [["a", "b"]]
 
 
+def test_brackets_and_flags(spark):
+    texts = ["(a, [b c]) d", "a] [b", "(a", '"x (y" z', "['p q', r", "{}", "a, 'b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, tags string")
+    got = {}
+    for r in sorted(packed.unpack(df, "id", "tags", SIGNS).collect(), key=lambda r: (r.id, r.pos)):
+        got.setdefault(r.id, []).append((r.tag, r.quoted, r.bracketed, r.malformed, r.unbalanced))
+    assert got == {
+        0: [("a", False, True, False, False), ("b", False, True, False, False), ("c", False, True, False, False), ("d", False, False, False, False)],
+        1: [("a", False, False, False, True), ("b", False, False, False, True)],
+        2: [("a", False, True, False, True)],
+        3: [("x (y", True, False, False, False), ("z", False, False, False, False)],
+        4: [("p q", True, True, False, True), ("r", False, True, False, True)],
+        6: [("a", False, False, False, False), ("'b", False, False, False, False)],
+    }
+
+
+def test_sums_before(spark):
+    rows = [(list(range(n)),) for n in (1, 2, 3, 10, 1000)]
+    got = spark.createDataFrame(rows, "n array<bigint>").select("n", sums_before(F.col("n")).alias("s")).collect()
+    assert all(r.s == [sum(r.n[:i]) for i in range(len(r.n))] for r in got)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.text("abc ,;|\"'`", max_size=8), min_size=1, max_size=5), min_size=1, max_size=20))
 def test_quoted_round_trip(spark, rows):
