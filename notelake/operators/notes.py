@@ -27,6 +27,9 @@ SECRETS = (
 )
 MAX_TITLE, MAX_CONTENT = 160, 200_000
 HUB, ROOT = "Memory Hub", "Knowledge Root"
+#: What the hub notes say.
+HUB_TEXT = "Central memory index for this agent namespace. #memory #hub"
+ROOT_TEXT = "Entry point for agent memory. [[Memory Hub]] #memory #root"
 
 
 def secrets(text: Column) -> Column:
@@ -73,6 +76,29 @@ def connected(title: Column, content: Column) -> Column:
     return F.when(other, strip(content)).otherwise(F.concat(strip(content), F.lit("\n\nRelated: [["), target, F.lit("]]")))
 
 
+def added(rows: DataFrame, there: DataFrame) -> DataFrame:
+    """path, agent_id, title, content, auto_linked, link_target of rows(id, title, content, agent) that agents add as notes.
+
+    Rows with problems are left out; of rows with one path the last id counts, as it would be written over the others.
+    A note that cites no other gets a line to its agent's hub; hubs that are then missing among the new notes and those
+    that are ``there`` (column path) come out as notes too.
+    """
+    good = rows.where(F.size(problems(F.col("title"), F.col("content"))) == 0)
+    base = good.select("id", "title", "content", slug(F.coalesce("agent", F.lit("")), "shared").alias("agent_id"))
+    text = connected(F.col("title"), F.col("content"))
+    note = base.withColumn("text", text).withColumn("auto_linked", F.col("text") != strip(F.col("content")))
+    target = F.when(F.col("auto_linked"), F.when(_same_title(F.col("title")) == HUB.lower(), F.lit(ROOT)).otherwise(F.lit(HUB)))
+    path = F.concat(F.lit("agents/"), "agent_id", F.lit("/"), file_slug(F.col("title")), F.lit(".md"))
+    note = cut_lineage(note.select("id", path.alias("path"), "agent_id", "title", "text", "auto_linked", target.alias("link_target")), "added")
+    last = note.groupBy("path").agg(F.max_by(F.struct("agent_id", "title", "text", "auto_linked", "link_target"), "id").alias("n")).select("path", "n.*")
+    hub = F.col("title") == HUB
+    hubs = note.where("link_target IS NOT NULL").select("agent_id", F.col("link_target").alias("title")).distinct()
+    hubs = hubs.select(F.concat(F.lit("agents/"), "agent_id", F.lit("/"), file_slug(F.col("title")), F.lit(".md")).alias("path"), "agent_id", "title", F.when(hub, F.lit(HUB_TEXT)).otherwise(F.lit(ROOT_TEXT)).alias("text"))
+    hubs = hubs.join(note.select("path").unionByName(there.select("path")), "path", "left_anti").withColumns({"auto_linked": F.lit(False), "link_target": F.lit(None).cast("string")})
+    every = last.unionByName(hubs)
+    return every.select("path", "agent_id", "title", build_text(F.col("title"), F.col("text"), F.col("agent_id")).alias("content"), "auto_linked", "link_target")
+
+
 def add_related(content: Column, title: Column) -> Column:
     """A low-priority link to the title at the end, unless the content cites it already."""
     cited = F.contains(F.regexp_replace(F.lower(content), r"\[\[\s*", "[["), F.concat(F.lit("[["), F.lower(title)))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .general import general
 from .vault import vault
+from .views import shown
 from .writing import writing
 from .registry import Query
 
-PARTS = (general, vault, writing)
+PARTS = (general, vault, writing, shown)
 
 
 def queries() -> dict[str, Query]:

@@ -111,7 +111,16 @@ p AS (SELECT id AS row_id, agent_id, title, walk.path, content FROM s JOIN walk
 """
 
 
-@writing.query("legacy_import")
+@writing.query(
+    "legacy_import",
+    _LEGACY
+    + r""", tg AS (SELECT *, list_filter(t0, lambda x, i: list_position(t0, x) = i) AS ts FROM (SELECT p.*, trim(p.content, ' ' || chr(9) || chr(10) || chr(13)) AS body, list_filter(list_transform(regexp_split_to_array(coalesce(o.tags, ''), '[\s\x0b\p{Z}\x{FEFF},;|]+'), lambda x: lower(regexp_replace(trim(x), '^#', ''))), lambda x: regexp_matches(x, '^[a-z0-9][a-z0-9_-]*$')) AS t0 FROM p JOIN legacy_notes o ON o.id = row_id)),
+ms AS (SELECT *, list_filter(ts, lambda t: NOT list_contains(list_transform(regexp_extract_all(body, '(^|\s)#([A-Za-z0-9][A-Za-z0-9_-]*)', 2), lambda x: lower(x)), t)) AS missing FROM tg),
+bt AS (SELECT *, body || CASE WHEN len(missing) > 0 THEN chr(10) || chr(10) || 'Tags: ' || array_to_string(list_transform(missing, lambda t: '#' || t), ' ') ELSE '' END AS t FROM ms),
+ct AS (SELECT *, len(list_filter(regexp_extract_all(t, '\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]', 1), lambda x: trim(x) <> '' AND lower(regexp_replace(trim(x), '(?i)\.md$', '')) <> lower(regexp_replace(trim(title), '(?i)\.md$', '')))) > 0 AS cites FROM bt)
+SELECT row_id, agent_id, title, path, '---' || chr(10) || 'title: "' || replace(title, '"', chr(92) || '"') || '"' || chr(10) || 'agent: "' || agent_id || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10)
+  || t || CASE WHEN cites THEN '' WHEN lower(regexp_replace(trim(title), '(?i)\.md$', '')) = 'memory hub' THEN chr(10) || chr(10) || 'Related: [[Knowledge Root]]' ELSE chr(10) || chr(10) || 'Related: [[Memory Hub]]' END || chr(10) AS content FROM ct""",
+)
 def q_legacy_import(spark, d):
     return notes.import_legacy(table(spark, d, "legacy_notes"), table(spark, d, "vault_notes").select("path").distinct())
 
@@ -160,7 +169,19 @@ def q_hubs(spark, d):
     return nodes.withColumn("hub_score", layout.hub_score(F.col("title"))).where("hub_score > 0").select("id", "title", "degree", "hub_score")
 
 
-@writing.query("segments")
+@writing.query(
+    "segments",
+    _NODES
+    + """, ue AS (SELECT DISTINCT from_document_id AS a, to_document_id AS b FROM l WHERE to_document_id IS NOT NULL UNION SELECT to_document_id, from_document_id FROM l WHERE to_document_id IS NOT NULL),
+rc(id, c) AS (SELECT id, id FROM d UNION SELECT ue.b, rc.c FROM rc JOIN ue ON ue.a = rc.id WHERE rc.c < ue.b), cm AS (SELECT id, min(c) AS component FROM rc GROUP BY 1),
+nt AS (SELECT g.*, component, coalesce(CASE WHEN ps[1] = 'agents' THEN ps[3] ELSE ps[1] END, 'root') AS label FROM (SELECT *, list_filter(string_split(path, '/'), lambda p: p <> '') AS ps FROM g) g JOIN cm USING (id)),
+nn AS (SELECT *, label IN ('maps', '00-maps') OR coalesce(regexp_matches(title, '(?i)\\b(moc|map)\\b'), false) AS nat FROM nt),
+pc AS (SELECT component, min(title) AS first_title, bool_or(nat) AS has, arg_min(id, (-degree, title, id)) AS top FROM nn GROUP BY 1),
+sd AS (SELECT id, (first_title, -degree, title, id) AS rank, coalesce(nullif(trim(regexp_replace(regexp_replace(title, '(?i)^MOC\\s+', ''), '(?i)\\s+Memory Map$', '')), ''), title) AS segment FROM nn JOIN pc USING (component) WHERE CASE WHEN has THEN nat ELSE id = top END),
+wlk(id, seed, lv) AS (SELECT id, id, 0 FROM sd UNION SELECT ue.b, seed, lv + 1 FROM wlk JOIN ue ON ue.a = wlk.id WHERE lv < 12),
+nr AS (SELECT wlk.id, arg_min(segment, (lv, rank)) AS segment FROM wlk JOIN sd ON sd.id = seed GROUP BY 1)
+SELECT nn.id, coalesce(segment, CASE label WHEN '00-maps' THEN 'maps' ELSE label END) AS segment FROM nn LEFT JOIN nr USING (id)""",
+)
 def q_segments(spark, d):
     docs, links, nodes = _nodes(spark, d)
     edges = cut_lineage(graph.edges_between(docs, links), "edges")
