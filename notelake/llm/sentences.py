@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, sums_before
+
 SEP, VOID, MARK, HEAD, PROSE = "", "", "", "", ""
 CUT, SPAN = "", ""
 #: After a quotation that ends in a terminator: introduced by a colon, amid a sentence, at its start (cased script or not).
@@ -114,11 +116,6 @@ GOES_ON = (
 )
 
 
-def _let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c evaluated once."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def _each(c: Column, f: Callable[[Column], Column]) -> Column:
     """f over the parts between separators, joined again."""
     return F.array_join(F.transform(F.split(c, SEP), f), SEP)
@@ -132,7 +129,7 @@ def _void(c: Column, pattern: str) -> Column:
     """What the pattern matches becomes a void block whose characters are neutral."""
     blank = lambda p: F.when(p.startswith(VOID), F.concat(F.lit(VOID), F.regexp_replace(_rest(p), r"[\s\S]", "x"))).otherwise(p)
     cut = F.regexp_replace(c, pattern, f"{SEP}{VOID}$0{SEP}{PROSE}")
-    return _let(cut, lambda t: F.when(t.contains(VOID), _each(t, blank)).otherwise(t))
+    return let(cut, lambda t: F.when(t.contains(VOID), _each(t, blank)).otherwise(t))
 
 
 def _items(p: Column) -> Column:
@@ -154,13 +151,13 @@ def blocks(text: Column) -> Column:
         return t
 
     t = F.regexp_replace(text, r"[\x{E000}-\x{E0FF}]", "x")
-    t = _let(t, lambda t: F.when(t.contains("\r"), F.translate(F.regexp_replace(t, r"\r(?=\n)", " "), "\r", "\n")).otherwise(t))
-    t = _let(t, lambda t: F.when(t.startswith("---") | t.startswith("\ufeff---"), _void(t, FRONT)).otherwise(t))
-    t = _let(t, lambda t: F.when(t.contains("```") | t.contains("~~~"), _void(t, FENCE)).otherwise(t))
-    t = _let(t, lambda t: F.when(t.contains("#"), _void(t, TAGS)).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("\r"), F.translate(F.regexp_replace(t, r"\r(?=\n)", " "), "\r", "\n")).otherwise(t))
+    t = let(t, lambda t: F.when(t.startswith("---") | t.startswith("\ufeff---"), _void(t, FRONT)).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("```") | t.contains("~~~"), _void(t, FENCE)).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("#"), _void(t, TAGS)).otherwise(t))
     t = _void(t, RULE)
-    t = _let(t, lambda t: F.when(t.contains(">"), quotes(t)).otherwise(t))
-    t = _let(t, lambda t: F.when(t.contains("#"), F.regexp_replace(t, HEADING, f"{SEP}{MARK}$1{SEP}{HEAD}$2{SEP}{MARK}$3{SEP}{PROSE}")).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains(">"), quotes(t)).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("#"), F.regexp_replace(t, HEADING, f"{SEP}{MARK}$1{SEP}{HEAD}$2{SEP}{MARK}$3{SEP}{PROSE}")).otherwise(t))
     t = _each(F.regexp_replace(t, rf"\n[{BLANK}]*+(?=\n)", f"$0{SEP}{PROSE}"), _items)
     return F.regexp_replace(t, BULLET, f"{SEP}{MARK}$1{SEP}{PROSE}")
 
@@ -173,7 +170,7 @@ def _masked(c: Column, pattern: str, mask: Callable[[Column], Column]) -> Column
     """c with the mask over what the pattern matches."""
     cut = F.regexp_replace(c, pattern, f"{CUT}{SPAN}$0{CUT}")
     one = lambda s: F.when(s.startswith(SPAN), mask(_rest(s))).otherwise(s)
-    return _let(cut, lambda t: F.when(t.contains(CUT), F.array_join(F.transform(F.split(t, CUT), one), "")).otherwise(t))
+    return let(cut, lambda t: F.when(t.contains(CUT), F.array_join(F.transform(F.split(t, CUT), one), "")).otherwise(t))
 
 
 def mask_spans(c: Column) -> Column:
@@ -188,8 +185,8 @@ def mask_words(c: Column) -> Column:
     c = _masked(c, short, lambda s: F.translate(s, ".", DOT))
     title = rf"(?=[\s{DOT}])(?<={_LETTER}(?:{_either_form(TITLES)})\.)"
     c = F.regexp_replace(c, rf"\.(?:(?=[\d\p{{Ll}}\-_/\\@])|{title}|{MONTH}|{INITIAL})", DOT)
-    c = _let(c, lambda t: F.when(t.rlike(r"\d\.\s"), F.regexp_replace(t, ORDINAL, f"$1{DOT}")).otherwise(t))
-    return _let(c, lambda t: F.when(t.contains("г."), F.regexp_replace(t, YEAR, f"$1{DOT}")).otherwise(t))
+    c = let(c, lambda t: F.when(t.rlike(r"\d\.\s"), F.regexp_replace(t, ORDINAL, f"$1{DOT}")).otherwise(t))
+    return let(c, lambda t: F.when(t.contains("г."), F.regexp_replace(t, YEAR, f"$1{DOT}")).otherwise(t))
 
 
 def mask_quotes(c: Column) -> Column:
@@ -214,7 +211,7 @@ def mask_quotes(c: Column) -> Column:
 
         return F.array_join(F.transform(parts, one), "")
 
-    return _let(tagged, lambda t: F.when(t.contains(CUT), _let(F.split(t, CUT), all_)).otherwise(t))
+    return let(tagged, lambda t: F.when(t.contains(CUT), let(F.split(t, CUT), all_)).otherwise(t))
 
 
 def _is_ascii(c: Column) -> Column:
@@ -243,7 +240,7 @@ def split_prose(c: Column, greek: Column) -> Column:
         rf"{ASKS}{closers}(?=\s|$)",
     )
     marks = rf"[.。！？｡．॥।!?؟\x{{203C}}\x{{2047}}-\x{{2049}}\x{{37E}}…{END_COLON}{END_MID}{END_CASED}{ASKS}]"
-    asks = _let(c, lambda c: F.when(greek, F.translate(c, ";", ASKS)).otherwise(c))
+    asks = let(c, lambda c: F.when(greek, F.translate(c, ";", ASKS)).otherwise(c))
     return F.regexp_replace(asks, rf"(?={marks})(?:{'|'.join(rules)})", f"$0{SEP}{PROSE}")
 
 
@@ -260,37 +257,24 @@ def pieces(text: Column) -> Column:
         plain = _is_ascii(c)
         no_quote = plain & ~c.contains('"')
         masked = mask_words(mask_spans(c))
-        masked = _let(masked, lambda m: F.when(no_quote, m).otherwise(mask_quotes(m)))
+        masked = let(masked, lambda m: F.when(no_quote, m).otherwise(mask_quotes(m)))
         done = split_prose(masked, ~plain & c.rlike(r"\p{IsGreek}"))
-        return _let(done, lambda d: F.when(~plain & c.rlike(r"\p{IsThai}"), split_thai(d)).otherwise(d))
+        return let(done, lambda d: F.when(~plain & c.rlike(r"\p{IsThai}"), split_thai(d)).otherwise(d))
 
     def one(p: Column) -> Column:
-        body = _let(F.when(p.startswith(PROSE), _rest(p)).otherwise(p), prose)
+        body = let(F.when(p.startswith(PROSE), _rest(p)).otherwise(p), prose)
         return F.when(p.rlike(f"^[{VOID}{MARK}{HEAD}]"), p).otherwise(F.concat(F.lit(PROSE), body))
 
     return F.split(F.translate(_each(blocks(text), one), END_COLON + END_MID + END_CASED + END_OTHER, ""), SEP)
 
 
-def sums_before(n: Column) -> Column:
-    """The sum of the earlier entries of a filled array at each of its entries, in steps of the root of its length."""
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    def steps(n: Column) -> Column:
-        step = F.ceil(F.sqrt(F.size(n))).cast("int")
-        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / step).cast("int")), lambda c: add(F.slice(n, c * step + 1, step)))
-        return _let(whole, lambda w: _let(F.transform(w, lambda _, c: add(F.slice(w, F.lit(1), c))), lambda w: F.transform(
-            n, lambda _, i: F.get(w, F.floor(i / step).cast("int")) + add(F.slice(n, i - i % step + 1, i % step)))))
-
-    return _let(n, steps)
-
-
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_pos, end_pos of every sentence, in code points counted from 1."""
 
     def measure(p: Column) -> Column:
         there = (p.startswith(HEAD) | p.startswith(PROSE)) & p.rlike(r"[\p{L}\p{N}\p{S}]")
         inside = lambda left: F.when(F.right(left, F.lit(1)).isin(*WHITE), F.length(F.rtrim(left, F.lit(WHITE)))).otherwise(F.length(left))
-        size = _let(F.ltrim(_rest(p), F.lit(WHITE)), lambda left: F.struct(F.length(left).alias("left"), inside(left).alias("core")))
+        size = let(F.ltrim(_rest(p), F.lit(WHITE)), lambda left: F.struct(F.length(left).alias("left"), inside(left).alias("core")))
         return F.struct((F.length(p) - 1).cast("bigint").alias("n"), F.when(there, size).alias("s"))
 
     cut = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.transform(pieces(F.col(text)), measure).alias("_m"))

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from notelake.llm import encode, packing, sentences
 
@@ -102,12 +101,6 @@ def test_classes_are_filled_by_count():
     assert bins([37, 35, 10, 8], 60) == [[37, 10], [35, 8]]
 
 
-def test_sums_before(spark):
-    rows = [(list(range(n)),) for n in (1, 2, 3, 10, 1000)]
-    got = spark.createDataFrame(rows, "n array<bigint>").select("n", sentences.sums_before(F.col("n")).alias("s")).collect()
-    assert all(r.s == [sum(r.n[:i]) for i in range(len(r.n))] for r in got)
-
-
 CASES = {
     "Ao lado do pacote.O Sr. Zé mediu. No painel estável.A equipe foi.Der Tag kam.": ["Ao lado do pacote.", "O Sr. Zé mediu.", "No painel estável.", "A equipe foi.", "Der Tag kam."],
     "One. Two! Three? Really?! End": ["One.", "Two!", "Three?", "Really?!", "End"],
