@@ -4,8 +4,7 @@ Segments grow from seeds by breadth-first levels, all seeds at once; a note reac
 to the first of them, which is what a queue filled in seed order gives. Positions follow from ranks and hashes. Collisions
 are relaxed in rounds in which all pairs act at once (grid join), instead of one pair after another.
 
-Ranks over hot groups do not go through one task: rows are range-partitioned by group and order, ranked within their
-partition, and moved by the counts of the partitions before (``rank_within``).
+Ranks over hot groups do not go through one task (``rank_within``).
 
 Defined results: nodes without coordinates take no part in the views; ties go by title and id; empty tables give empty
 results.
@@ -17,9 +16,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .ranges import rank_within
 
 #: Names of well-known folders, and angles of well-known segments.
 GROUP_LABELS = {
@@ -41,18 +40,6 @@ MIN_DISTANCE = 132.0
 _W = lambda words: rf"(?i)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
 
 
-def rank_within(df: DataFrame, group: list[str], order: list, name: str = "rank") -> DataFrame:
-    """df with the row number within its group, computed without gathering any group in one task."""
-    keys = [F.col(c) for c in group] + order
-    sorted_ = df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
-    sorted_ = cut_lineage(sorted_, "ranged")
-    local = sorted_.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*order)))
-    counts = sorted_.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
-    before = counts.select("_pid", *group, (F.sum("_n").over(Window.partitionBy(*group).orderBy("_pid")) - F.col("_n")).alias("_before"))
-    both = local.join(before, ["_pid", *group])
-    return both.withColumn(name, F.col("_local") + F.col("_before")).drop("_pid", "_local", "_before")
-
-
 def group_label(path: Column) -> Column:
     """The folder a note is in, below its agent."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FOLD_FROM, FOLD_TO, slug, strip, strip_end, utf16_length
 from ..session import cut_lineage
 from .documents import FENCED, WIKI, tags_of
-from .layout import rank_within
+from .ranges import rank_within
 
 _A, _Z = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Labels of secrets and the patterns that find them.

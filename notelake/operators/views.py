@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import buckets, hub_score, primary_hub, rank_within
+from .layout import buckets, hub_score, primary_hub
+from .ranges import rank_within
 
 #: Numbers of nodes from which a graph is large, and how many edges it shows then.
 LARGE, EDGES_SHOWN = 4_000, 120_000

@@ -15,7 +15,7 @@ COLUMNS = ["document_id", "agent_id", "title", "path", "chunk_id", "chunk_ordina
 
 def numbered(rows: DataFrame, rows_per_pack: int = ROWS_PER_PACK) -> DataFrame:
     """Distinct rows with the pack they belong to: agent by agent, by document and ordinal."""
-    from ..operators.layout import rank_within
+    from ..operators.ranges import rank_within
 
     ranked = rank_within(rows.select(*COLUMNS).distinct().withColumn("_all", F.lit(0)), ["_all"], [F.asc(c) for c in ("agent_id", "document_id", "chunk_ordinal", "chunk_id")])
     return ranked.withColumn("pack", F.floor((F.col("rank") - 1) / rows_per_pack).cast("int")).drop("_all", "rank")

@@ -54,6 +54,18 @@ def test_random_vault_equals_brute_force(spark):
     assert {(r.link_id, r.ref_field) for r in got} == brute(links, notes, removed)
 
 
+def test_hot_notes_and_keys(spark):
+    hour = lambda i: T0 + timedelta(hours=i)
+    # one note with very many removals, many of them overlapping, and many notes of one title that were all removed once
+    removed = [("hot", "p", hour(6 * i), hour(6 * i + (9 if i % 5 == 0 else 2))) for i in range(300)] + [(f"t{i}", "p", hour(6 * i + 1), None) for i in range(300)]
+    notes = [("hot", "a", "Hot", "hot.md", T0, "e")] + [(f"t{i}", "shared", "Same", f"t{i}.md", hour(6 * i), "e") for i in range(300)]
+    links = [(i, "hot", "b", "SAME#x", "./hot.md", hour(i), "k", "t") for i in range(0, 1850, 7)]
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = R.orphan_references(df(links, LINKS), df(notes, NOTES), df(removed, GONE)).collect()
+    want = brute(links, notes, removed)
+    assert {(r.link_id, r.ref_field) for r in got} == want and {f for _, f in want} == set(R.FIELDS)
+
+
 def test_empty_sides(spark):
     links = spark.createDataFrame([(1, "n", "a", "T", "p", T0, "k", "t")], LINKS)
     none = lambda ddl: spark.createDataFrame([], ddl)
