@@ -81,13 +81,16 @@ s AS (SELECT tag_a, tag_b, n_ab, x.n AS n_a, y.n AS n_b, total.n AS n FROM p JOI
 
 
 def _p5_table(spark, d):
-    """All documents; then those of agent shared leave and come back, as when its packs are rebuilt."""
+    """All documents, those of agent shared at first with the agent's name among their tags; then these as they are.
+
+    The second batch takes back what the name counted for: pairs and an item that are gone afterwards.
+    """
     rows = table(spark, d, "pack_rows")
     every = cut_lineage(baskets(rows, "document_id", "tags"), "baskets")
     own = every.join(rows.where("agent_id = 'shared'").select(F.col("document_id").alias("basket")), "basket", "left_semi")
+    named = own.select("basket", F.array_sort(F.array_distinct(F.concat("items", F.array(F.lit("agent:shared"))))).alias("items"))
     pairs = PairTable.new(spark)
-    pairs.apply(every)
-    pairs.apply(own.select("basket", F.array().cast("array<string>").alias("items")))
+    pairs.apply(every.join(own.select("basket"), "basket", "left_anti").unionByName(named))
     pairs.apply(own)
     return pairs
 
