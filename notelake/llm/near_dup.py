@@ -86,7 +86,7 @@ def _throw(owner, element, weight, first, last, k: int, sig: np.ndarray) -> None
         at, dart = at[hit], dart[hit]
     # rank in the high bits, so that the smallest value is the earliest dart
     rank = (level[at].astype(np.uint64) << np.uint64(44)) | (dart >> np.uint64(20))
-    column = (mix(dart ^ M3) % np.uint64(k)).astype(np.int64)
+    column = ((dart & np.uint64(0xFFFFF)) * np.uint64(k) >> np.uint64(20)).astype(np.int64)  # from the bits that the rank leaves
     np.minimum.at(sig, owner[who[at]] * k + column, rank)
 
 
