@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from ..functions.embed import signature
 from ..operators import context, dedupe, documents, graph, search, snapshots
 from ..session import cut_lineage
 from ..sources import vault as source
@@ -399,6 +400,19 @@ def q_duplicates_merge(spark, d):
     return _resolved(spark, d, "merge")
 
 
+@vault.query(
+    "vector_signature",
+    """WITH u AS (SELECT DISTINCT chunk_id, embedding AS x FROM index_rows WHERE chunk_id IS NOT NULL AND len(embedding) > 0 AND NOT isnan(list_sum(embedding)) AND NOT isinf(list_sum(embedding))),
+s AS (SELECT chunk_id, list_sort(list_filter(list_transform(x, lambda v, i: {'a': -abs(v), 'i': i - 1, 'p': v >= 0}), lambda e: e.a < 0))[1:24] AS s FROM u)
+SELECT chunk_id, pos::INTEGER AS place, CASE WHEN e.p THEN 'p:' ELSE 'n:' END || e.i AS bucket FROM (SELECT chunk_id, unnest(s) AS e, generate_subscripts(s, 1) AS pos FROM s)""",
+)
+def q_vector_signature(spark, d):
+    """The 24 dimensions of largest size of each chunk's vector, with their signs."""
+    rows = table(spark, d, "index_rows").where("chunk_id IS NOT NULL AND size(embedding) > 0").where(F.forall("embedding", lambda x: F.abs(x) < float("inf")))
+    one = rows.select("chunk_id", "embedding").distinct().select("chunk_id", F.posexplode(signature(F.col("embedding"), 24)).alias("place", "bucket"))
+    return one.withColumn("place", F.col("place") + 1)
+
+
 @vault.query(
     "vector_classes",
     """WITH v AS (SELECT chunk_id AS id, min(embedding) AS x FROM index_rows WHERE len(embedding) = 192 AND chunk_id IS NOT NULL GROUP BY 1),

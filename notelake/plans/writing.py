@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunks, documents, graph, index, layout, notes, search
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from ..sources import packs
 from ..sources import vault as source
 from ..sources.tables import table
@@ -139,6 +139,17 @@ def q_pack_report(spark, d):
     return packs.report(packs.numbered(table(spark, d, "pack_rows"), 500))
 
 
+@writing.query(
+    "pack_files",
+    "SELECT agent_id, chunk_id, document_id, chunk_ordinal, md5(coalesce(content, '')) AS content_hash FROM (SELECT DISTINCT document_id, agent_id, title, path, chunk_id, chunk_ordinal, content, tags FROM pack_rows WHERE agent_id IS NOT NULL)",
+)
+def q_pack_files(spark, d):
+    """The pack rows as they come back from packs that were written."""
+    path = shared_dir(spark, "packs")
+    packs.write(table(spark, d, "pack_rows").where("agent_id IS NOT NULL").select(*packs.COLUMNS).distinct(), path)
+    return packs.read(spark, path).select("agent_id", "chunk_id", "document_id", "chunk_ordinal", F.md5(F.coalesce("content", F.lit(""))).alias("content_hash"))
+
+
 @writing.query(
     "pack_totals",
     "SELECT agent_id, count(*) AS n, count(DISTINCT document_id) AS documents, sum(strlen(coalesce(content, '')))::BIGINT AS bytes FROM (SELECT DISTINCT * FROM pack_rows) GROUP BY 1",

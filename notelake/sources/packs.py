@@ -44,3 +44,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Packs of an older kind: one JSON row per line, gzip or plain; rows of another shape are dropped."""
     ddl = "document_id string, agent_id string, title string, path string, chunk_id string, chunk_ordinal int, content string, tags array<string>"
     return spark.read.schema(ddl).json(path).where("document_id IS NOT NULL AND chunk_id IS NOT NULL AND content IS NOT NULL")
+
+
+def upgrade(spark: SparkSession, old: str, new: str) -> None:
+    """Write packs of an older kind as packs of this one."""
+    write(read_lines(spark, old).distinct(), new)
+
+
+def compression(spark: SparkSession, path: str) -> DataFrame:
+    """One row: in_bytes (texts, titles, paths and tags of the rows), out_bytes of the files, ratio and saved share."""
+    rows = read(spark, path)
+    size = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("title", "path", "content", "document_id", "chunk_id")), F.octet_length(F.coalesce(F.array_join("tags", " "), F.lit(""))))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    both = rows.agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("in_bytes")).join(files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("out_bytes")))  # one row each
+    ratio = F.coalesce(F.round(F.col("out_bytes") / F.nullif(F.col("in_bytes"), F.lit(0)), 4), F.lit(0.0))
+    return both.withColumn("ratio", ratio).withColumn("saved", F.greatest(F.lit(0.0), 1 - F.col("ratio")))

@@ -65,6 +65,10 @@ def test_packs(spark, tmp_path):
     with gzip.open(tmp_path / "old.jsonl.gz", "wt") as f:
         f.write(json.dumps({"document_id": "d", "agent_id": "a", "chunk_id": "c", "content": "x"}) + "\n{\"odd\": 1}\nnot json\n")
     assert packs.read_lines(spark, str(tmp_path / "old.jsonl.gz")).count() == 1
+    packs.upgrade(spark, str(tmp_path / "old.jsonl.gz"), str(tmp_path / "new"))
+    assert [(r.chunk_id, r.agent_id) for r in packs.read(spark, str(tmp_path / "new")).collect()] == [("c", "a")]
+    c = packs.compression(spark, str(tmp_path / "packs")).first()
+    assert c.in_bytes > 1000 and c.out_bytes > 0 and c.ratio == round(c.out_bytes / c.in_bytes, 4)
 
 
 def test_watch(spark, vault):
