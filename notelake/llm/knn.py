@@ -348,8 +348,8 @@ def neighbours(df: DataFrame, key: str, vector: str, width: int, k: int = 10, pe
                 _, x, at = turned(batch)
                 h = _hashes(x)
                 keys = batch.column(0).take(pa.array(at))
-                keep = batch.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False)
-                take = np.isnan(keep) | (h == keep) if keep.dtype.kind == "f" else h == keep
+                keep = batch.column(2).take(pa.array(at))
+                take = keep.is_null().to_numpy(zero_copy_only=False) | (h == keep.fill_null(0).to_numpy(zero_copy_only=False))
                 for i in np.flatnonzero(np.isin(h, hot_hashes) & take):
                     name = keys[int(i)].as_py()
                     take[i] = name <= hot_last[h[i]] and name not in sent
