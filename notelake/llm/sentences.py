@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,8 @@ SPANS = r"(?=[`\[(（【hfw])(?:" + "|".join(
         rf"\[[^\[\]{_IN}]*+\]",
     )
 ) + ")"
+#: One of these is in each span.
+SPAN_SIGNS = ("`", "[", "(", "（", "【", "://", "www.")
 QUOTE = "|".join(
     (
         rf"“[^“”„{_IN}]*+”",
@@ -256,7 +260,9 @@ def pieces(text: Column) -> Column:
     def prose(c: Column) -> Column:
         plain = _is_ascii(c)
         no_quote = plain & ~c.contains('"')
-        masked = mask_words(mask_spans(c))
+        spans = reduce(or_, (c.contains(x) for x in SPAN_SIGNS))
+        masked = F.when(spans, mask_spans(c)).otherwise(c)
+        masked = let(masked, lambda m: F.when(m.contains("."), mask_words(m)).otherwise(m))
         masked = let(masked, lambda m: F.when(no_quote, m).otherwise(mask_quotes(m)))
         done = split_prose(masked, ~plain & c.rlike(r"\p{IsGreek}"))
         return let(done, lambda d: F.when(~plain & c.rlike(r"\p{IsThai}"), split_thai(d)).otherwise(d))
