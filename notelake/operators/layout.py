@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .ranges import rank_within
@@ -187,13 +188,56 @@ def grid_clusters(points: DataFrame, cell: float, limit: int = 900) -> DataFrame
     return by.orderBy(F.desc("n"), "cx", "cy").limit(limit).withColumnsRenamed({"cx": "cell_x", "cy": "cell_y"})
 
 
+#: Cells of the mesh are a third as wide each time, until their points share them with so many on average, or they are the finest.
+CROWD, FINEST = 24, 14
+
+
+def _crowding(points: DataFrame, cell: float) -> float:
+    """With how many points a point shares its cell on average."""
+    n = _cells(points, cell).groupBy("cx", "cy").agg(F.count("*").cast("double").alias("n"))
+    return n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+
 def mesh_edges(points: DataFrame, edges: DataFrame, distance: float, k: int = 3) -> DataFrame:
-    """a < b: each point with its k nearest within the distance that edges(a, b) do not link already."""
-    pair = near_pairs(points, distance).withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    known = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    free = pair.join(known, ["lo", "hi"], "left_anti")
-    near = free.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "lo", "hi"))), 1, k).alias("xs"))
-    return near.select(F.explode("xs").alias("x")).select(F.col("x.lo").alias("a"), F.col("x.hi").alias("b")).distinct()
+    """a < b: each point with its k nearest within the distance that edges(a, b) do not link already.
+
+    The search begins with narrow cells and goes on with wider ones for the points that have not found k within a cell's
+    width, so that the work follows the points and not the pairs within the distance. Of the points at one place those
+    with the smallest ids are enough: k, one for the point itself, and as many as the most links of a point to near ones.
+    """
+    p = cut_lineage(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("id", "x", "y"), "points")
+    end = lambda s: p.select(F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    near = edges.select("a", "b").join(end("a"), "a").join(end("b"), "b").where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) < distance)
+    ends = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    linked = cut_lineage(ends.groupBy("e.a").agg(F.collect_set("e.b").alias("linked")), "linked")
+    most = linked.agg(F.max(F.size("linked"))).first()[0] or 0
+    at_place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    there = cut_lineage(p.withColumn("_n", at_place).where(F.col("_n") <= k + 1 + most).drop("_n"), "places")
+    step = 0
+    while step < FINEST and _crowding(there, distance / 3**step) > CROWD:
+        step += 1
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    moved = lambda df: df.withColumn("o", around).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    open_, found, first = p.withColumnRenamed("id", "a").join(linked, "a", "left"), [], True
+    while True:
+        cell = distance / 3**step
+        left = _cells(open_, cell).withColumnsRenamed({"x": "ax", "y": "ay"})
+        right = _cells(there, cell)
+        if not first:  # few points are left: only what lies around them
+            right = right.join(moved(left.select("cx", "cy").distinct()).distinct(), ["cx", "cy"], "left_semi")
+        right = moved(right).select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        d = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+        within = d < (cell - 1e-8 if step else distance)  # what is nearer lies in the cells around, and rounding doesn't reorder it
+        on = (F.col("cx") == F.col("rx")) & (F.col("cy") == F.col("ry")) & (F.col("a") != F.col("b")) & within & ~F.coalesce(F.array_contains("linked", F.col("b")), F.lit(False))
+        pair = F.when(F.col("b").isNotNull(), F.struct(F.round(d, 9).alias("d"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+        near = left.join(right, on, "left").groupBy("cx", "cy", "a").agg(F.first("ax").alias("x"), F.first("ay").alias("y"), F.first("linked").alias("linked"), F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("xs"))
+        tried = cut_lineage(near.drop("cx", "cy"), "tried")
+        done = F.size("xs") >= k if step else F.lit(True)
+        found.append(tried.where(done).select(F.explode("xs").alias("x")))
+        if not step:
+            break
+        open_, step, first = tried.where(~done).drop("xs"), step - 1, False
+    return reduce(DataFrame.unionByName, found).select(F.col("x.lo").alias("a"), F.col("x.hi").alias("b")).distinct()
 
 
 def buckets(nodes: DataFrame, sizes: tuple[int, ...] = (1000, 250, 60)) -> DataFrame:

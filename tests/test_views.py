@@ -1,11 +1,12 @@
 """Views of a placed graph, notes that are added, and generated notes."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import documents, notes, views
+from notelake.operators import documents, layout, notes, views
 from notelake.sources import generated
 
 NODE = "id string, title string, path string, degree int, x double, y double, rank int, bucket int"
@@ -85,3 +86,25 @@ def test_generated_notes(spark):
     links = documents.links(docs)
     assert docs.count() == 30 and links.count() == 29 + 22 and links.where("to_document_id IS NULL").count() == 0
     assert math.isclose(docs.where("array_contains(tags, 'benchmark')").count(), 30) and generated.linked_notes(spark, 0).count() == 0
+
+
+def test_mesh_follows_the_points_not_the_pairs(spark, monkeypatch):
+    def all_pairs(*_):
+        raise AssertionError("the mesh lists every pair within the distance")
+
+    monkeypatch.setattr(layout, "near_pairs", all_pairs)
+    rnd = random.Random(5)
+    at = {f"d{i:03}": (rnd.uniform(0, 3), rnd.uniform(0, 3)) for i in range(400)}  # crowded
+    at |= {f"s{i:03}": (rnd.uniform(-900, 900), rnd.uniform(-900, 900)) for i in range(150)} | {"far": (9000.0, 0.0)}
+    at |= {f"e{i:03}": (50.0, -50.0) for i in range(80)} | {"e1": (50.0, -50.5)}  # at one place
+    ids_ = sorted(at)
+    links = {tuple(sorted(rnd.sample(ids_, 2))) for _ in range(1500)} | {("e000", f"e{i:03}") for i in range(1, 60)} | {(f"e{i:03}", "e1") for i in range(40)}
+    want = set()
+    for a in ids_:
+        near = ((round(math.hypot(at[b][0] - at[a][0], at[b][1] - at[a][1]), 9), min(a, b), max(a, b)) for b in ids_ if b != a and (min(a, b), max(a, b)) not in links)
+        want |= {x[1:] for x in sorted(x for x in near if x[0] < 90)[:3]}
+    points = spark.createDataFrame([*((k, *v) for k, v in at.items()), ("nox", None, 1.0)], "id string, x double, y double")
+    edges = spark.createDataFrame([(b, a) if i % 2 else (a, b) for i, (a, b) in enumerate(sorted(links))] + [("d000", "gone")], "a string, b string")
+    got = [(r.a, r.b) for r in layout.mesh_edges(points, edges, 90.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert layout.mesh_edges(points.limit(0), edges, 90.0).count() == 0
