@@ -72,6 +72,34 @@ def embed(text: str) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
+def embed_all(texts: list[str]) -> np.ndarray:
+    """What ``embed`` gives for each text, row by row, to the last bit; the features are hashed together."""
+    names, weights, count = [], [], []
+    for text in texts:
+        found = features(text)
+        names += [name for name, _ in found]
+        weights += [weight for _, weight in found]
+        count.append(len(found))
+    size = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+    order = np.argsort(-size, kind="stable")
+    start, long_to_short = (np.cumsum(size) - size)[order], size[order]
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    h = np.full(len(names), 2166136261, dtype=np.uint64)
+    for i in range(int(long_to_short[0]) if len(names) else 0):
+        n = int(np.searchsorted(-long_to_short, -i))  # so many are longer than i
+        h[:n] = ((h[:n] ^ codes[start[:n] + i]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    hashes = np.empty_like(h)
+    hashes[order] = h
+    at = np.repeat(np.arange(len(texts)), count) * WIDTH + (hashes % np.uint64(WIDTH)).astype(np.int64)
+    signed = np.where(hashes & np.uint64(1) == 1, 1.0, -1.0) * np.asarray(weights, dtype=np.float64)
+    out = np.bincount(at, weights=signed, minlength=len(texts) * WIDTH).reshape(-1, WIDTH)
+    for v in out:
+        norm = math.sqrt(sum(x * x for x in v.tolist()))
+        if norm:
+            v /= norm
+    return out
+
+
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:

@@ -13,14 +13,18 @@ part in the semantic scan; every pair comes once, smaller key first; a limit bel
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
-from ..functions.embed import embedding
+from ..functions.embed import WIDTH, embed, embed_all, embedding
 from ..functions.text import strip
 from ..session import cut_lineage
 from .notes import add_related, merged, merged_into
@@ -38,13 +42,17 @@ def comparable_body(content: Column) -> Column:
     return strip(F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
-def exact_duplicates(notes: DataFrame) -> DataFrame:
-    """left_path, right_path of notes with equal bodies: the first by path against each other one."""
-    hashed = notes.select(F.translate("path", "\\", "/").alias("path"), F.sha2(comparable_body(F.col("content")), 256).alias("h")).distinct()
+def _stars(hashed: DataFrame) -> DataFrame:
+    """left_path, right_path of hashed(path, h): the first path of each hash against each other one."""
     first = hashed.groupBy("h").agg(F.min("path").alias("left_path"), F.count("*").alias("n")).where("n > 1")
     return hashed.join(first, "h").where("path <> left_path").select("left_path", F.col("path").alias("right_path"))
 
 
+def exact_duplicates(notes: DataFrame) -> DataFrame:
+    """left_path, right_path of notes with equal bodies: the first by path against each other one."""
+    return _stars(notes.select(F.translate("path", "\\", "/").alias("path"), F.sha2(comparable_body(F.col("content")), 256).alias("h")).distinct())
+
+
 def shared_words(a: Column, b: Column) -> Column:
     """Do the texts share a word of more than two characters, whatever its case?"""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_\-]{3,}"), F.lit(0))
@@ -129,31 +137,151 @@ def semantic_duplicates(df: DataFrame, key: str, vector: str, width: int, at_lea
     return out.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), F.round("score", 4).alias("score")).distinct()
 
 
-def scan(docs: DataFrame, agent: str | None = None, focus: str | None = None, limit: int = 25, at_least: float = AT_LEAST, semantic: bool = True) -> DataFrame:
+#: The scan for the best pairs begins at a high cosine, with (cosine, signs of a band, bands), and goes on only where these
+#: give fewer pairs than are asked for. Few notes are searched at the least cosine at once.
+STAGES, AT_ONCE = ((0.9999, 64, 8), (0.98, 24, 44)), 20_000
+#: Keys up to so many are sent to every task; more are joined by a shuffle.
+SENT_UP_TO = 100_000
+#: As focus: the first note that has an exact duplicate.
+FIRST = object()
+
+
+def _picked(rows: DataFrame, keys: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """rows that have one of the keys (written before), by a shuffle of the rows only if the keys are many."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT_UP_TO else keys, name, how)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """path, title, body, h (hash of the comparable body) of docs(path, title, content): the least title and content of each path."""
+    plain = F.regexp_replace(F.translate("path", "\\", "/"), r"^\./", "")
+    rows = docs.where("path IS NOT NULL").select(plain.alias("path"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
+    rows = rows.withColumn("k", F.xxhash64("path"))
+    several = cut_lineage(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "several")
+    least = lambda df: df.groupBy("path").agg(F.min(F.struct("title", "content")).alias("n")).select("path", "n.*")
+    if several.count() <= SENT_UP_TO:  # the texts of paths with one row stay where they are
+        one = _picked(rows, several, "k", "left_anti").drop("k").unionByName(least(_picked(rows, several, "k")))
+    else:
+        one = least(rows)
+    strict = comparable_body(F.col("content"))
+    body = strip(F.regexp_replace(strict, r"[\s\x{A0}]+", " "))
+    return one.select("path", "title", body.alias("body"), F.unhex(F.sha2(strict, 256)).alias("h"))
+
+
+def _signed_notes(notes: DataFrame, signs: int, bands: int) -> DataFrame:
+    """path, h, t (hash of title and body), v (hash of the vector, null if it is not usable), s1, s2 (sketch), bands of the notes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(23)
+        sketch = random.standard_normal((WIDTH, SKETCH)).astype(np.float32)
+        planes = random.standard_normal((WIDTH, signs * bands)).astype(np.float32)
+        of_band = np.arange(bands, dtype=np.uint64) << np.uint64(signs) if signs + bands.bit_length() < 64 else np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for big in batches:
+            for start in range(0, big.num_rows, 1000):
+                batch = big.slice(start, 1000)
+                x = embed_all(batch.column("text").to_pylist()) + 0.0  # no negative zeros
+                y = x.astype(np.float32)
+                bits = (y @ planes > 0).reshape(len(x), bands, signs)
+                packed = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 64 - signs))), axis=2, bitorder="little").view(np.uint64).reshape(len(x), bands)
+                keys = (packed ^ of_band).view(np.int64)
+                short = np.packbits(y @ sketch > 0, axis=1).view(np.int64).reshape(-1, 2)
+                v = [hashlib.md5(row.tobytes()).digest() if row.any() else None for row in x]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("path", "h", "t")), pa.array(v, pa.binary()), pa.array(short[:, 0]), pa.array(short[:, 1]), lists], names=["path", "h", "t", "v", "s1", "s2", "bands"]
+                )
+
+    texts = notes.select("path", "h", F.xxhash64("title", "body").alias("t"), F.concat("title", F.lit("\n"), "body").alias("text"))
+    return cut_lineage(texts.mapInArrow(run, "path string, h binary, t bigint, v binary, s1 bigint, s2 bigint, bands array<bigint>"), "signed-notes")
+
+
+def _near_notes(notes: DataFrame, signed: DataFrame, at_least: float, limit: int | None) -> DataFrame:
+    """left_path, right_path, score of pairs with a cosine of at least at_least: all of them, or those among the first
+    ``limit`` of a score by path, to which each class of equal texts gives its first limit + 1 notes at most."""
+    usable = signed.where("v IS NOT NULL")
+    rep = cut_lineage(usable.groupBy("v").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("s1", "s2", "bands"))), "representatives")
+    banded = rep.select("v", "s1", "s2", F.explode("bands").alias("bucket"))
+    differ = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    near = (F.col("a.v") < F.col("b.v")) & (differ <= _most_different(at_least))
+    pairs = cut_lineage(banded.alias("a").join(banded.alias("b"), "bucket").where(near).select(F.col("a.v").alias("l"), F.col("b.v").alias("r")).distinct(), "candidates")
+    ends = cut_lineage(rep.select("v", "path").join(pairs.select(F.explode(F.array("l", "r")).alias("v")).distinct(), "v", "left_semi"), "ends")
+    units = _picked(notes, ends.select("path"), "path").select("path", embedding(F.concat("title", F.lit("\n"), "body")).alias("unit"))
+    units = cut_lineage(units.join(ends, "path").select("v", "unit"), "units")
+    both = pairs.join(units.select(F.col("v").alias("l"), F.col("unit").alias("x")), "l").join(units.select(F.col("v").alias("r"), F.col("unit").alias("y")), "r")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    close = cut_lineage(both.select("l", "r", dot.alias("score")).where(F.col("score") >= at_least), "close")
+    member = usable.select("path", "v", "t")
+
+    def first(*of: str) -> DataFrame:
+        ranked = member.withColumn("_n", F.row_number().over(Window.partitionBy(*of).orderBy("path")))
+        return (member if limit is None else ranked.where(F.col("_n") <= limit + 1)).select("path", "v")
+
+    a, b = first("v", "t").select(F.col("v").alias("l"), F.col("path").alias("i")), first("v", "t").select(F.col("v").alias("r"), F.col("path").alias("j"))
+    across = close.join(a, "l").join(b, "r").select("i", "j", "score")
+    equal = first("v")
+    within = equal.select("v", F.col("path").alias("i")).join(equal.select("v", F.col("path").alias("j")), "v").where("i < j").select("i", "j", F.lit(1.0).alias("score"))
+    return across.unionByName(within).select(F.least("i", "j").alias("left_path"), F.greatest("i", "j").alias("right_path"), F.round("score", 4).alias("score"))
+
+
+def _near_note(notes: DataFrame, focus: str, at_least: float) -> DataFrame:
+    """left_path, right_path, score of the note of a path with every other one: one pass over the notes."""
+    one = notes.where(F.col("path") == focus).select("title", "body").first()
+    vector = np.asarray(embed(f"{one.title}\n{one.body}")) if one else np.zeros(WIDTH)
+
+    @pandas_udf("double")
+    def cosine_to(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.concatenate([embed_all(list(batch[i : i + 1000])) @ vector for i in range(0, len(batch), 1000)]) if len(batch) else [], dtype="float64")
+
+    score = cosine_to(F.concat("title", F.lit("\n"), "body"))
+    words = shared_words(F.col("title"), F.lit(one.title if one else "")) | shared_words(F.col("body"), F.lit(one.body if one else ""))
+    found = notes.where(F.col("path") != focus).withColumn("score", score).where(F.col("score") >= at_least).where((F.round("score", 4) >= CERTAIN) | words)
+    return found.select(F.least("path", F.lit(focus)).alias("left_path"), F.greatest("path", F.lit(focus)).alias("right_path"), F.round("score", 4).alias("score"))
+
+
+def _with_words(notes: DataFrame, near: DataFrame) -> DataFrame:
+    """Of near pairs those that are certain or share a word of more than two characters in their titles or their bodies."""
+    unsure = cut_lineage(near.where(F.col("score") < CERTAIN), "unsure")
+    paths = cut_lineage(unsure.select(F.explode(F.array("left_path", "right_path")).alias("path")).distinct(), "unsure-paths")
+    texts = cut_lineage(_picked(notes, paths, "path").select("path", "title", "body"), "unsure-texts")
+    l = texts.select(F.col("path").alias("left_path"), F.col("title").alias("lt"), F.col("body").alias("lb"))  # noqa: E741
+    r = texts.select(F.col("path").alias("right_path"), F.col("title").alias("rt"), F.col("body").alias("rb"))
+    alike = shared_words(F.col("lt"), F.col("rt")) | shared_words(F.col("lb"), F.col("rb"))
+    return near.where(F.col("score") >= CERTAIN).unionByName(unsure.join(l, "left_path").join(r, "right_path").where(alike).select("left_path", "right_path", "score"))
+
+
+def scan(docs: DataFrame, agent: str | None = None, focus: str | object | None = None, limit: int | None = 25, at_least: float = AT_LEAST, semantic: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """left_path, right_path, kind, score of docs(path, agent_id, title, content): exact pairs, then semantic ones, the best first.
 
     Semantic pairs below CERTAIN share a word of more than two characters in their titles or their bodies.
-    focus: only pairs with this path.
+    focus: only pairs with this path, or with that of the first note that has an exact duplicate (FIRST). limit: None for all.
     """
-    notes = docs if agent is None else docs.where(F.col("agent_id") == agent)
-    plain = F.regexp_replace(F.translate("path", "\\", "/"), r"^\./", "")
-    body = strip(F.regexp_replace(comparable_body(F.col("content")), r"[\s\x{A0}]+", " "))
-    notes = notes.where("path IS NOT NULL").groupBy(plain.alias("path")).agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))).alias("n"))
-    notes = cut_lineage(notes.select("path", "n.*").select("path", "title", "content", body.alias("body")), "notes")
-    exact = exact_duplicates(notes).select("left_path", "right_path", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
-    found = exact
-    if semantic:
-        vectors = notes.select("path", embedding(F.concat("title", F.lit("\n"), "body")).alias("vec"))
-        near = semantic_duplicates(vectors, "path", "vec", 192, at_least).select(F.col("left_id").alias("left_path"), F.col("right_id").alias("right_path"), "score")
-        near = near.join(exact.select("left_path", "right_path"), ["left_path", "right_path"], "left_anti")
-        l = notes.select(F.col("path").alias("left_path"), F.col("title").alias("lt"), F.col("body").alias("lb"))  # noqa: E741
-        r = notes.select(F.col("path").alias("right_path"), F.col("title").alias("rt"), F.col("body").alias("rb"))
-        alike = (F.col("score") >= CERTAIN) | shared_words(F.col("lt"), F.col("rt")) | shared_words(F.col("lb"), F.col("rb"))
-        kept = near.join(l, "left_path").join(r, "right_path").where(alike)
-        found = exact.unionByName(kept.select("left_path", "right_path", F.lit("semantic").alias("kind"), "score"))
+    docs = docs if agent is None else docs.where(F.col("agent_id") == agent)
+    notes = _plain(docs)
+    limit = None if limit is None else max(1, limit)
+    keys = ["left_path", "right_path"]
+    pairs = lambda hashed: _stars(hashed.select("path", "h")).select(*keys, F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
+    merge = lambda exact, near: exact.unionByName(near.join(exact, keys, "left_anti").select(*keys, F.lit("semantic").alias("kind"), "score"))
+    best = lambda found: found.orderBy(F.desc("score"), *keys) if limit is None else found.orderBy(F.desc("score"), *keys).limit(limit)
     if focus is not None:
-        found = found.where((F.col("left_path") == focus) | (F.col("right_path") == focus))
-    return found.orderBy(F.desc("score"), "left_path", "right_path").limit(max(1, limit))
+        exact = pairs(cut_lineage(notes.select("path", "h"), "hashed"))
+        if focus is FIRST:
+            focus = exact.agg(F.min("left_path")).first()[0]
+        exact = cut_lineage(exact.where((F.col("left_path") == focus) | (F.col("right_path") == focus)), "exact")
+        return best(merge(exact, _near_note(notes, focus, at_least)) if semantic and focus is not None else exact)
+    if not semantic:
+        return best(pairs(cut_lineage(notes.select("path", "h"), "hashed")))
+    early = [] if limit is None or docs.count() <= at_once else [s for s in STAGES if s[0] > at_least]
+    for least, signs, bands in [*early, (at_least, SIGNS, BANDS)]:
+        signed = _signed_notes(notes, signs, bands)
+        near = _near_notes(notes, signed, least, limit)
+        near = near if least >= CERTAIN else _with_words(notes, near)
+        found = merge(pairs(signed), near)
+        if least == at_least:
+            return best(found)
+        # all pairs are known whose rounded score is above the stage's cosine
+        top = cut_lineage(best(found.where(F.col("score") > least)), "best")
+        if top.count() >= limit:
+            return best(top)
 
 
 ACTIONS = ("merge", "link", "ignore")

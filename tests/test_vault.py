@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,29 @@ def test_scan_of_notes(spark):
     assert all(r.w == r.g for r in words.select("w", F.coalesce(dedupe.shared_words(F.col("a"), F.col("b")), F.lit(False)).alias("g")).collect())
 
 
+def test_scan_in_stages_gives_the_first_pairs_of_all(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "_classes", None)  # the scan of all pairs at the least cosine
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(4))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    rows = [(f"k{i:02}.md", "a", "Copy", " ".join(base[0])) for i in range(55)]  # a large class
+    rows += [(f"j{i}.md", "a", "Copy", " ".join([*base[0][:-1], word()])) for i in range(3)]  # near it, some before it by path
+    rows += [(f"m{i}.md", "a", "Copy", " ".join(base[0]) + "." * (i + 1)) for i in range(3)]  # equal vectors, other bodies
+    rows += [(f"v{i}{j}.md", "a", f"T{i}", " ".join([*base[i][: 60 - j], *(word() for _ in range(j))])) for i in range(1, 6) for j in range(5)]
+    docs = spark.createDataFrame(rows, "path string, agent_id string, title string, content string")
+    vec = {p: np.asarray(embed(f"{t}\n{c}")) for p, _, t, c in rows}
+    body, score = {p: c for p, _, _, c in rows}, {}
+    for a, b in combinations(sorted(vec), 2):
+        exact = body[a] == body[b] and a == min(p for p in body if body[p] == body[a])
+        if exact or vec[a] @ vec[b] >= 0.92:
+            score[a, b] = (1.0, "exact") if exact else (round(float(vec[a] @ vec[b]), 4), "semantic")
+    want = [(a, b, kind, s) for (a, b), (s, kind) in sorted(score.items(), key=lambda x: (-x[1][0], x[0]))]
+    assert len(want) > 1700 and len({x[3] for x in want}) > 3
+    for limit in (25, 60, 1720, 5000):
+        got = [(r.left_path, r.right_path, r.kind, r.score) for r in dedupe.scan(docs, limit=limit, at_once=0).collect()]
+        assert got == want[:limit], limit
+
+
 def test_resolving_duplicates(spark):
     docs = spark.createDataFrame([("l.md", "Left", "# Left\n\nleft body\n\n"), ("r.md", "Right", "---\na: b\n---\n# Right\n\nright\n  body"), ("o.md", "Other", "o")], "path string, title string, content string")
     pair = spark.createDataFrame([("l.md", "r.md")], "left_path string, right_path string")
