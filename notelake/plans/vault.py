@@ -360,9 +360,7 @@ def q_duplicates(spark, d):
 @vault.query("duplicates_of_note", _DUP + "SELECT * FROM dup WHERE left_path = (SELECT min(left_path) FROM exact) OR right_path = (SELECT min(left_path) FROM exact)")
 def q_duplicates_of_note(spark, d):
     """All duplicates of the first note that has an exact one."""
-    notes = _plain_notes(spark, d)
-    first = dedupe.exact_duplicates(notes.where("path IS NOT NULL")).agg(F.min("left_path")).first()[0]
-    return dedupe.scan(notes, focus=first or "", limit=1_000_000)
+    return dedupe.scan(_plain_notes(spark, d), focus=dedupe.FIRST, limit=None)
 
 
 _RESOLVE = _DUP + r""", pr AS (SELECT e.left_path, e.right_path, l.title AS lt, l.content AS lc, r.title AS rt, r.content AS rc, r.body AS rb FROM exact e JOIN b l ON l.path = left_path JOIN b r ON r.path = right_path),

@@ -179,6 +179,21 @@ def test_scan_in_stages_gives_the_first_pairs_of_all(spark, monkeypatch):
         assert got == want[:limit], limit
 
 
+def test_duplicates_of_one_note(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "_classes", None)  # the scan of all pairs
+    text = "the token is checked before the session starts and again after the cache was dropped"
+    rows = [(f"k{i:02}.md", "a", "Copy", text) for i in range(60)] + [("l.md", "a", "Copy", text + " twice"), ("z.md", "a", "Zq", "wholly different"), ("y.md", "a", "", "")]
+    rows += [("./a.md", "a", "B", "another"), ("a.md", "a", "A", "alone"), ("b.md", "a", "C", "another")]  # of a.md's rows the one that counts has no duplicate
+    docs = spark.createDataFrame(rows, "path string, agent_id string, title string, content string")
+    got = {(r.left_path, r.right_path, r.kind) for r in dedupe.scan(docs, focus=dedupe.FIRST, limit=None).collect()}
+    assert got == {("k00.md", f"k{i:02}.md", "exact") for i in range(1, 60)} | {("k00.md", "l.md", "semantic")}
+    got = {(r.left_path, r.right_path, r.kind) for r in dedupe.scan(docs, focus="k59.md", limit=None).collect()}
+    assert got == {("k00.md", "k59.md", "exact"), ("k59.md", "l.md", "semantic")} | {(f"k{i:02}.md", "k59.md", "semantic") for i in range(1, 59)}
+    for focus in ("y.md", "gone.md"):
+        assert dedupe.scan(docs, focus=focus).count() == 0
+    assert dedupe.scan(docs.where("path > 'l'"), focus=dedupe.FIRST).count() == 0
+
+
 def test_resolving_duplicates(spark):
     docs = spark.createDataFrame([("l.md", "Left", "# Left\n\nleft body\n\n"), ("r.md", "Right", "---\na: b\n---\n# Right\n\nright\n  body"), ("o.md", "Other", "o")], "path string, title string, content string")
     pair = spark.createDataFrame([("l.md", "r.md")], "left_path string, right_path string")
