@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, layout, notes, views
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from ..sources.tables import table
 from .registry import Registry
 from .writing import _NODES, _nodes
@@ -30,7 +30,8 @@ ed AS (SELECT from_document_id AS a, to_document_id AS b, weight FROM l WHERE to
 
 def _graph(spark, d):
     """The nodes at their places, and the resolved links as edges."""
-    _, links, nodes = _nodes(spark, d)
+    docs, links, nodes = _nodes(spark, d)
+    forget(docs)  # the texts, which nothing below reads
     placed = layout.place(nodes.withColumn("segment", layout.group_label(F.col("path"))))
     edges = links.where("to_document_id IS NOT NULL").select(F.col("from_document_id").alias("a"), F.col("to_document_id").alias("b"), "weight")
     return cut_lineage(placed.select("id", "title", "path", "degree", "segment", "x", "y"), "placed"), edges

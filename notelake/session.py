@@ -86,3 +86,11 @@ def cut_lineage(df, what: str):
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df) -> None:
+    """Delete what ``cut_lineage`` has written for df; neither it nor what still reads it may be used any more."""
+    files = df.inputFiles()
+    if files:
+        fs, where = _filesystem(df.sparkSession, files[0])
+        fs.delete(where.getParent(), True)

@@ -2,11 +2,13 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators import documents, layout, notes, views
+from notelake.session import cut_lineage, forget
 from notelake.sources import generated
 
 NODE = "id string, title string, path string, degree int, x double, y double, rank int, bucket int"
@@ -108,3 +110,11 @@ def test_mesh_follows_the_points_not_the_pairs(spark, monkeypatch):
     got = [(r.a, r.b) for r in layout.mesh_edges(points, edges, 90.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert layout.mesh_edges(points.limit(0), edges, 90.0).count() == 0
+
+
+def test_what_was_written_can_be_forgotten(spark):
+    kept, gone = (cut_lineage(spark.range(5), "t") for _ in range(2))
+    folder = Path(gone.inputFiles()[0].removeprefix("file:")).parent
+    forget(gone)
+    assert not folder.exists() and kept.count() == 5
+    forget(spark.range(1))
